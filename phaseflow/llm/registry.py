@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseflow.llm import mixing, oracles
+from phaseflow.llm import mixing, oracles, quality
 from phaseflow.session import table
 
 
@@ -14,5 +14,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op4_mixing": op4_mixing}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "d2")
+
+
+QUERIES = {"op4_mixing": op4_mixing, "op10_quality": op10_quality}
 ORACLES = oracles.SQL
