@@ -24,3 +24,35 @@ SELECT doc_id, size, total AS source_size, target,
          - floor((rnk - 1) * (CASE WHEN total > 0 THEN target / total ELSE 0 END) + u)) * size)::BIGINT AS taken
 FROM r JOIN g USING (sn, s)
 """
+
+SQL["op6_urls"] = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, html, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest,
+         regexp_extract(url, '^.*?://[^/?#]*', 0) AS root
+  FROM pages),
+p AS (
+  SELECT page_id, html, root, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
+  FROM u),
+n AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN tail = '' THEN '/' ELSE tail END END AS node FROM p),
+rules(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+j AS (
+  SELECT n.page_id, n.host, n.path, n.node, n.html, n.root, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS own
+  FROM n LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY ALL),
+f AS (
+  SELECT node, root, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)))) AS t
+  FROM j WHERE node IS NOT NULL),
+g AS (SELECT node, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN root || t ELSE t END AS t FROM f),
+k AS (SELECT node, substr(t, strpos(t, '://') + 3) AS rest FROM g WHERE contains(t, '://')),
+e AS (
+  SELECT node AS a, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                    || CASE WHEN regexp_extract(rest, '^[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS b
+  FROM k WHERE regexp_extract(rest, '^[^/?#]*', 0) <> ''),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a),
+w AS (SELECT r.a AS node, CASE WHEN bool_or(j.own = 'allow') THEN 'allow' WHEN bool_or(j.own = 'block') THEN 'block' END AS spread
+      FROM r JOIN j ON j.node = r.b GROUP BY r.a)
+SELECT page_id, host, path, rule, coalesce(own, spread, 'allow') AS verdict FROM j LEFT JOIN w USING (node)
+"""

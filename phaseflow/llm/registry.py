@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseflow.llm import mixing, oracles, quality
+from phaseflow.llm import mixing, oracles, quality, simhash, urls
 from phaseflow.session import table
 
 
@@ -19,5 +19,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "d2")
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op10_quality": op10_quality}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+RULES = (
+    urls.Rule("org", "/", "allow"),
+    urls.Rule("example.org", "/es/", "block"),
+    urls.Rule("example.org", "/en/1", "block"),
+    urls.Rule("com", "/fr/", "allow"),
+    urls.Rule("com", "/de/", "block"),
+)
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judged(table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {"op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_urls": op6_urls, "op10_quality": op10_quality}
 ORACLES = oracles.SQL
