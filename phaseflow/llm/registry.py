@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseflow.llm import mixing, oracles, quality, simhash, urls
+from phaseflow.llm import mixing, oracles, packing, quality, simhash, tokens, urls
 from phaseflow.session import table
 
 
+def tokenizer_file() -> str:
+    """The public tokenizer's file, at the same place on each machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -38,5 +49,9 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_simhash": op5_simhash, "op6_urls": op6_urls, "op10_quality": op10_quality}
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_documents(*tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_mixing, op5_simhash, op6_urls, op8_tokens, op10_quality)}
 ORACLES = oracles.SQL

@@ -37,9 +37,10 @@ END_ID = 0
 #: A block ends with the document that reaches so many ids.
 BLOCK = 1 << 17
 #: Words in a worker's cache, and characters that are split into words at a time.
-CACHE, PART = 300_000, 1 << 20
+CACHE, PART = 1_000_000, 1 << 20
 
 _UNSAFE = re.compile(r"\s \s")
+_BLANK = re.compile(r"\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, Encoder] = {}
 
@@ -57,6 +58,9 @@ class Encoder:
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and made["model"].get("type") == "BPE" and not made["model"].get("dropout")
         self.special = [x["content"] for x in made.get("added_tokens") or []]
         self.cache: dict[str, bytes] = {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.by_word = self.by_word and self.line is not None
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -66,7 +70,27 @@ class Encoder:
         return _encoders[path]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts words, each after a blank, into the cache.
+
+        Words without white space go through the library in one text, with a line break after each: it begins a word
+        of the pattern of its own, and so does the blank that follows.
+        """
+        blank = [w for w in words if not w or _BLANK.search(w)]
+        self.cache.update(zip(blank, self._plain([f" {w}" for w in blank]), strict=True))
+        whole = list(words.difference(blank))
+        for at in range(0, len(whole), 1 << 14):
+            some = whole[at : at + (1 << 14)]
+            ids = self._plain([" " + "\n ".join(some) + "\n"])[0]
+            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == self.line) * 4
+            if len(ends) != len(some):
+                raise ValueError("a word of the tokenizer's pattern spans a line break")
+            begin = 0
+            for w, end in zip(some, ends.tolist(), strict=True):
+                self.cache[w] = ids[begin:end]
+                begin = end + 4
 
     def _words(self, parts: list[str]) -> list[bytes]:
         split = [p.split(" ") for p in parts]
@@ -76,8 +100,7 @@ class Encoder:
         new = set()
         for s in split:
             new.update(s[1:])
-        new = sorted(new - self.cache.keys())
-        self.cache.update(zip(new, self._plain([f" {w}" for w in new]), strict=True))
+        self._learn(new.difference(self.cache))
         get = self.cache.__getitem__
         return [h + b"".join(map(get, s[1:])) for h, s in zip(heads, split, strict=True)]
 
