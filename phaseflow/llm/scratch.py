@@ -22,14 +22,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+#: Rows that go to Python at a time: whole texts are long, so far fewer than Spark's own default.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 256
+
+
+def written(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The returned frame has no lineage but the files, so a lost executor costs its running tasks only.
     """
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, batch_rows)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:

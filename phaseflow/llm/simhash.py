@@ -175,7 +175,7 @@ def links(classes: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("shard")).alias("i"), F.greatest(x, F.col("shard")).alias("j")))
     cells = rows.select("way", "key", "shard", "fp", F.explode(own).alias("c")).select("way", "key", "c.i", "c.j", "shard", "fp")
-    return cells.repartition("way", "key", "i", "j").mapInArrow(_links, "a long, b long")
+    return written(cells.repartition("way", "key", "i", "j").mapInArrow(_links, "a long, b long"), "simhash-links", 1 << 16)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

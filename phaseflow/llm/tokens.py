@@ -37,7 +37,7 @@ END_ID = 0
 #: A block ends with the document that reaches so many ids.
 BLOCK = 1 << 17
 #: Words in a worker's cache, and characters that are split into words at a time.
-CACHE, PART = 1_000_000, 1 << 20
+CACHE, PART = 600_000, 1 << 20
 
 _UNSAFE = re.compile(r"\s \s")
 _BLANK = re.compile(r"\s")
@@ -252,7 +252,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_documents(blocks: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
-    rows = blocks.mapInArrow(_documents, "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = written(blocks.mapInArrow(_documents, "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long"), "tokens-read", 4)
     return rows.join(index, ["part", "block"]).select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
