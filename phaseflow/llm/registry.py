@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseflow.llm import mixing, oracles, packing, quality, simhash, tokens, urls
+from phaseflow.llm import caps, mixing, oracles, packing, quality, simhash, tokens, urls
 from phaseflow.session import table
 
 
+def op2_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def tokenizer_file() -> str:
     """The public tokenizer's file, at the same place on each machine."""
     import public_tokenizers
@@ -53,5 +58,5 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(*tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_mixing, op5_simhash, op6_urls, op8_tokens, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_caps, op3_packing, op4_mixing, op5_simhash, op6_urls, op8_tokens, op10_quality)}
 ORACLES = oracles.SQL
