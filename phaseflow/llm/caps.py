@@ -157,6 +157,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     col = {n: t.column(n).to_numpy() for n in t.column_names}
     order, bounds = _cells([col[k] for k in ("label", "dims", "filter", "i", "j")])
     s1, s2, shard, i, j = (col[k][order] for k in ("s1", "s2", "shard", "i", "j"))
+    s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # bits of signed numbers are counted in their absolute value
     size = np.diff(bounds)
     end, near = np.repeat(bounds[1:], size), np.zeros(len(order), bool)
     small = np.repeat(size <= SHIFTS, size)
