@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseflow.llm import caps, mixing, oracles, packing, quality, simhash, tokens, urls
+from phaseflow.llm import caps, mixing, oracles, packing, quality, simhash, suffixes, tokens, toxicity, urls
+from phaseflow.llm.scratch import written
 from phaseflow.session import table
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op2_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = caps.near_duplicates(table(spark, sf_dir, "embeddings"))
     return near.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -54,9 +59,24 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels the model never sees."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+TOXIC = 0.7
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~held_out(F.col("doc_id")))
+    scored = written(toxicity.score(docs, model, ["doc_id"]), "toxicity-scores")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(*tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
-QUERIES = {f.__name__: f for f in (op2_caps, op3_packing, op4_mixing, op5_simhash, op6_urls, op8_tokens, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_caps, op3_packing, op4_mixing, op5_simhash, op6_urls, op7_toxicity, op8_tokens, op10_quality)}
 ORACLES = oracles.SQL

@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
 #: Rows that go to Python at a time: whole texts are long, so far fewer than Spark's own default.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 256
+#: Shuffle files go when the write ends; the table holds all that comes after.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
@@ -34,12 +36,15 @@ def written(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, batch_rows)
+    held = {BATCH: str(batch_rows), CLEANUP: "true"}
+    before = {k: spark.conf.get(k) for k in held}
     try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
