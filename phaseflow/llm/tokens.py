@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 0
 #: A block ends with the document that reaches so many ids.
 BLOCK = 1 << 17
-#: Words in a worker's cache, and characters that are split into words at a time.
-CACHE, PART = 600_000, 1 << 20
+#: Words in each of the two generations of a worker's cache, and characters that are split into words at a time.
+CACHE, PART = 500_000, 1 << 20
 
 _UNSAFE = re.compile(r"\s \s")
 _BLANK = re.compile(r"\s")
+#: Words of letters with ASCII punctuation after them, maybe several with single line breaks between: each run of
+#: letters or punctuation and each of these breaks is a word of the pattern.
+_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+[!-/:-@\[-`{-~]*(?:\n[A-Za-zÀ-ÖØ-öø-ɏ]+[!-/:-@\[-`{-~]*)*")
+_RUNS = re.compile(r"\n|[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-/:-@\[-`{-~]+")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, Encoder] = {}
 
@@ -60,6 +65,8 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        self.old: dict[str, bytes] = {}
+        self.bare = {"\n": np.array(line[:1], "<u4").tobytes()}
         self.by_word = self.by_word and self.line is not None
 
     @staticmethod
@@ -72,37 +79,81 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Puts words, each after a blank, into the cache.
+    def _each(self, words: list[str], before: str) -> Iterator[bytes]:
+        """Ids of words without white space, each after ``before``.
 
-        Words without white space go through the library in one text, with a line break after each: it begins a word
-        of the pattern of its own, and so does the blank that follows.
+        They go through the library in one text, with a line break after each, which is a word of the pattern of its
+        own.
         """
-        blank = [w for w in words if not w or _BLANK.search(w)]
-        self.cache.update(zip(blank, self._plain([f" {w}" for w in blank]), strict=True))
-        whole = list(words.difference(blank))
-        for at in range(0, len(whole), 1 << 14):
-            some = whole[at : at + (1 << 14)]
-            ids = self._plain([" " + "\n ".join(some) + "\n"])[0]
+        for at in range(0, len(words), 1 << 14):
+            some = words[at : at + (1 << 14)]
+            ids = self._plain([before + f"\n{before}".join(some) + "\n"])[0]
             ends = np.flatnonzero(np.frombuffer(ids, "<u4") == self.line) * 4
             if len(ends) != len(some):
                 raise ValueError("a word of the tokenizer's pattern spans a line break")
             begin = 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                self.cache[w] = ids[begin:end]
+            for end in ends.tolist():
+                yield ids[begin:end]
                 begin = end + 4
 
+    def _learn(self, words: set[str]) -> list[str]:
+        """Puts words, each after a blank, into the cache; those of several runs are put together from these.
+
+        Returns those with line breaks, which seldom come again.
+        """
+        cache, bare, old = self.cache, self.bare, self.old
+        if old:
+            kept = {w: old[w] for w in words if w in old}
+            cache.update(kept)
+            words = words.difference(kept)
+        whole = {w for w in words if w.isalpha()}
+        runs, blank = {}, []
+        for w in words.difference(whole):
+            if _SIMPLE.fullmatch(w):
+                runs[w] = r = _RUNS.findall(w)
+                whole.add(r[0])
+            elif not w or _BLANK.search(w):
+                blank.append(w)
+            else:
+                whole.add(w)
+        cache.update(zip(blank, self._plain([f" {w}" for w in blank]), strict=True))
+        heads = list(whole.difference(cache))
+        cache.update(zip(heads, self._each(heads, " "), strict=True))
+        if len(bare) > CACHE:
+            bare.clear()
+            bare["\n"] = np.array([self.line], "<u4").tobytes()
+        rest = list({x for r in runs.values() for x in r[1:]}.difference(bare))
+        bare.update(zip(rest, self._each(rest, ""), strict=True))
+        for w, (head, *tail) in runs.items():
+            cache[w] = cache[head] + (bare[tail[0]] if len(tail) == 1 else b"".join([bare[x] for x in tail]))
+        return [w for w, r in runs.items() if len(r) > 2 and "\n" in r]
+
     def _words(self, parts: list[str]) -> list[bytes]:
-        split = [p.split(" ") for p in parts]
         if len(self.cache) > CACHE:
-            self.cache.clear()
-        heads = self._plain([s[0] for s in split])
+            self.cache, self.old = {}, self.cache
+        get = self.cache.get
+        split = [p.split(" ") for p in parts]
+        found = [[b"", *map(get, islice(s, 1, None))] for s in split]  # the first word has no blank before it
+        holes: list[list[int]] = []
         new = set()
-        for s in split:
-            new.update(s[1:])
-        self._learn(new.difference(self.cache))
-        get = self.cache.__getitem__
-        return [h + b"".join(map(get, s[1:])) for h, s in zip(heads, split, strict=True)]
+        for s, ids in zip(split, found, strict=True):
+            at, own = 0, []
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    own.append(at)
+                    new.add(s[at])
+            except ValueError:
+                holes.append(own)
+        lines = self._learn(new)
+        cache = self.cache
+        for head, s, ids, own in zip(self._plain([s[0] for s in split]), split, found, holes, strict=True):
+            ids[0] = head
+            for at in own:
+                ids[at] = cache[s[at]]
+        for w in lines:
+            del cache[w]
+        return list(map(b"".join, found))
 
     def _cut(self, text: str) -> list[str]:
         parts, begin = [], 0
