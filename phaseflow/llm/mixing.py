@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX
 
 
 def emitted(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` takes it. Ids must be unique."""
-    takes = mixed.filter("copies > 0").select(id_col, "copies")
-    times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias(P + "copy")
-    return docs.join(takes, id_col).select(*docs.columns, times).drop(P + "copy")
+    """The rows of ``docs``, each as often as ``mixed`` takes it; rows with one id as often as any of them is taken."""
+    takes = mixed.filter("copies > 0").groupBy(F.col(id_col).alias(P + "id")).agg(F.max("copies").alias(P + "copies"))
+    found = docs.join(takes.hint("shuffle_hash"), docs[id_col].eqNullSafe(takes[P + "id"]))
+    return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(P + "copies").cast("int"))).alias(P + "copy")).drop(P + "copy")

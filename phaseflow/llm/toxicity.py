@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(*_first(docs, labels, id_col, text_col, label_col, F.lit(True) if learn is None else learn))
 
 
-def _scored(model: Model, at: int, show: float | None):
+def _scored(model: Model, at: int, keep_text: bool, show: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             judged = [model.judge(t or "") for t in batch.column(at).to_pylist()]
@@ -166,7 +166,7 @@ def _scored(model: Model, at: int, show: float | None):
                 found = [[{"start": a, "end": b, "score": p} for a, b, p in spans if p >= show] for _, spans in judged]
                 cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))))
                 names.append("offending")
-            keep = [k for k in range(len(names)) if k != at]
+            keep = [k for k in range(len(names)) if k != at or keep_text]
             yield pa.RecordBatch.from_arrays([cols[k] for k in keep], [names[k] for k in keep])
 
     return run
@@ -177,7 +177,9 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "t
 
     A sentence is (start, end, score), in characters of the text. ``text_col`` may be in ``keep`` too.
     """
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["score double"]
+    kept = text_col in keep
+    rows = docs.select(*keep) if kept else docs.select(*keep, F.col(text_col).alias("__text"))
+    at = rows.columns.index(text_col if kept else "__text")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for k, f in enumerate(rows.schema.fields) if kept or k != at] + ["score double"]
     fields += ["offending array<struct<start:int,end:int,score:double>>"] if show is not None else []
-    return rows.mapInArrow(_scored(model, len(rows.columns) - 1, show), ", ".join(fields))
+    return rows.mapInArrow(_scored(model, at, kept, show), ", ".join(fields))
