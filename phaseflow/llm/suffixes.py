@@ -15,13 +15,12 @@ its windows reach.
 3. Sampled splitters range-partition the suffixes by their leading bytes and then by the bytes before them, so even
    equal suffixes with different bytes before them are split. Each partition sorts by multikey quicksort, finds the
    least id for each window of each suffix from common prefixes, and leaves the windows whose prefix the partition's
-   first or last suffix shares to a comparison across boundaries: these are grouped by the window itself.
+   first or last suffix shares to a comparison across boundaries: hashes of these go out in packed blocks.
 4. Windows with a smaller id elsewhere become intervals, collected per document and cut out of its text.
 
 Cases: a null or empty text is empty; a text shorter than a window keeps everything; documents with one id count as
 one and do not remove from each other; rows with a null id are compared with nothing; an empty table gives an empty
-result; long texts go through in segments; the text that is left is decoded with replacement marks where a cut parts a
-character; extra columns stay out.
+result; long texts go through in segments; characters that a cut parts are left out of the text that is put out; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -31,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseflow.llm.scratch import written
+from phaseflow.llm.scratch import dropped, written
 
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1
@@ -175,39 +175,70 @@ def _hashes(buckets: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed hashes of whole buckets to (id, hashes): those that two documents have, and those known to be."""
-    docs, hs, sure = [], [], []
-    for batch in batches:
-        for known, d, c, h in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            h = np.frombuffer(h, np.uint64)
-            docs.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)))
-            hs.append(h)
-            sure.append(np.full(len(h), known))
-    if not docs:
+def _shared(buckets: int):
+    """Packed hashes of whole buckets to those that two documents have or are known to have, by bucket of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, hs, sure = [], [], []
+        for batch in batches:
+            for known, (d, h) in zip(batch.column("known").to_pylist(), _unpacked(batch), strict=True):
+                docs.append(d)
+                hs.append(h)
+                sure.append(np.full(len(h), known))
+        if not docs:
+            return
+        doc, h, sure = np.concatenate(docs), np.concatenate(hs), np.concatenate(sure)
+        order = np.lexsort((doc, h))
+        doc, h, sure = doc[order], h[order], sure[order]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:], [len(h)])) - 1
+        keep = sure | (doc[first] != doc[last])[np.cumsum(new) - 1]
+        doc, h = doc[keep], h[keep]
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        if len(doc):
+            distinct = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
+            doc, h = doc[distinct], h[distinct]
+        yield from _by_bucket(doc, h, buckets)
+
+    return run
+
+
+def _by_bucket(doc: np.ndarray, h: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Hashes packed by document, a row for each bucket of documents."""
+    b = (doc.view(np.uint64) * np.uint64(BASE) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((h, doc, b))
+    b, doc, h = b[order], doc[order], h[order]
+    cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True]))) if len(b) else np.zeros(1, int)
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        docs, counts = np.unique(doc[lo:hi], return_counts=True)
+        row = {"bucket": int(b[lo]), "docs": docs.tobytes(), "counts": counts.astype(np.uint32).tobytes(), "hashes": h[lo:hi].tobytes()}
+        yield pa.RecordBatch.from_pylist([row], pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())]))
+
+
+def _unpacked(batch: pa.RecordBatch, names: tuple[str, ...] = ("docs", "counts", "hashes")) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for d, c, h in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+        yield np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)), np.frombuffer(h, np.uint64)
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows of whole buckets to (id, hashes), a row a document."""
+    parts = [x for batch in batches for x in _unpacked(batch)]
+    if not parts:
         return
-    doc, h, sure = np.concatenate(docs), np.concatenate(hs), np.concatenate(sure)
-    order = np.lexsort((doc, h))
-    doc, h, sure = doc[order], h[order], sure[order]
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(h)])) - 1
-    keep = sure | (doc[first] != doc[last])[np.cumsum(new) - 1]
-    doc, h = doc[keep], h[keep]
+    doc, h = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
-    if len(doc):
-        distinct = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
-        doc, h = doc[distinct], h[distinct]
     ids, counts = np.unique(doc, return_counts=True)
-    for at in range(0, len(ids), 1 << 14):
-        lo = int(counts[:at].sum())
-        part = counts[at : at + (1 << 14)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + (1 << 14)]), _list(h[lo : lo + int(part.sum())], part)], ["id", "hashes"])
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    for at in range(0, len(ids), 1 << 12):
+        part = slice(at, at + (1 << 12))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), _list(h[ends[at] : ends[min(len(ids), at + (1 << 12))]], counts[part])], ["id", "hashes"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, lists of shared hashes) to suffixes: (id, first, back, context).
+    """Rows (id, text, shared hashes) to suffixes: (id, first, back, context).
 
     ``context`` is the text that the anchor's windows cover, from byte ``first`` of the text; the suffix starts ``back``
     bytes into it.
@@ -217,9 +248,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, at, first, last, h = anchors(data, bounds)
         cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
         keep = np.zeros(len(doc), bool)
-        for k, lists in enumerate(batch.column(2).to_pylist()):
+        for k, shared in enumerate(batch.column(2).to_pylist()):
             lo, hi = int(cut[k]), int(cut[k + 1])
-            keep[lo:hi] = np.isin(h[lo:hi], np.frombuffer(b"".join(lists), np.uint64))
+            keep[lo:hi] = np.isin(h[lo:hi], np.frombuffer(shared, np.uint64))
         doc, at, first, last = doc[keep], at[keep], first[keep], last[keep]
         for lo in range(0, len(doc), 1 << 16):
             d, a, f, e = (x[lo : lo + (1 << 16)] for x in (doc, at, first, last))
@@ -301,25 +332,85 @@ def least_ids(data: np.ndarray, starts: np.ndarray, back: np.ndarray, size: np.n
     return found, edge
 
 
-def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes (context, back, least) of one partition to (context, back, ids, edges): by window, in order."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
+WEIGHTS = np.random.default_rng(1).integers(0, 1 << 63, (2, WINDOW), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _window_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the windows that start at ``at``."""
+    out = np.zeros((2, len(at)), np.uint64)
+    for lo in range(0, len(at), 1 << 16):
+        raw = data[at[lo : lo + (1 << 16), None] + np.arange(WINDOW)].astype(np.uint64) + np.uint64(1)
+        for k in range(2):
+            x = raw * WEIGHTS[k]
+            x ^= x >> np.uint64(29)
+            x = (x * np.uint64(BASE)).sum(1, dtype=np.uint64)
+            out[k, lo : lo + (1 << 16)] = x ^ (x >> np.uint64(32))
+    return out[0], out[1]
+
+
+JUDGED = "part int, row int, context binary, back int, most long, ids array<long>, bucket int, edges binary"
+
+
+def _sorted(buckets: int):
+    """Suffixes (context, back, least, most) of one partition to ids by window, and packed windows at its edges.
+
+    Rows of the first kind have a null ``bucket``, those of the second kind nothing else but ``part`` and ``edges``:
+    words (hash, hash, least id, row * 32 + window). Suffixes that give nobody a smaller id here and reach no edge stay
+    out.
+    """
+    kinds = pa.schema([("part", pa.int32()), ("row", pa.int32()), ("context", pa.binary()), ("back", pa.int32()), ("most", pa.int64()), ("ids", pa.list_(pa.int64())), ("bucket", pa.int32()), ("edges", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        part = TaskContext.get().partitionId()
+        table = pa.Table.from_batches(held).combine_chunks()
+        context = table.column(0).chunk(0)
+        data, bounds = _bytes(context)
+        back, least, most = (table.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
+        starts, size = bounds[:-1], np.diff(bounds)
+        order = multikey_quicksort(_padded(data, starts + back, size - back, RIGHT).view(">u8").astype(np.uint64))
+        starts, size, back, least, most = (x[order] for x in (starts, size, back, least, most))
+        found, edge = least_ids(data, starts, back, size, least)
+        windows = size - WINDOW + 1
+        has = np.arange(SPAN) < windows[:, None]
+        edge &= has
+        use = np.flatnonzero(((found < most[:, None]) & has).any(1) | edge.any(1))
+        for lo in range(0, len(use), 1 << 14):
+            u = use[lo : lo + (1 << 14)]
+            offsets = pa.array(np.concatenate(([0], np.cumsum(windows[u]))).astype(np.int32))
+            none = pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.binary())
+            cols = [pa.array(np.full(len(u), part, np.int32)), pa.array(u.astype(np.int32)), context.take(pa.array(order[u])), pa.array(back[u].astype(np.int32)), pa.array(most[u]), pa.ListArray.from_arrays(offsets, pa.array(found[u][has[u]])), *none]
+            yield pa.RecordBatch.from_arrays(cols, schema=kinds)
+        row, w = np.nonzero(edge)
+        h1, h2 = _window_hashes(data, starts[row] + w)
+        words = np.stack([h1, h2, found[row, w].view(np.uint64), (row * 32 + w).view(np.uint64)], 1)
+        bucket = (h1 % np.uint64(buckets)).astype(np.int32)
+        for k in np.unique(bucket).tolist():
+            yield pa.RecordBatch.from_pylist([{"part": part, "bucket": k, "edges": words[bucket == k].tobytes()}], kinds)
+
+    return run
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed edge windows (part, bucket, edges) of whole buckets to (part, row, w, least) where another part has less."""
+    parts, words = [], []
+    for batch in batches:
+        for part, edges in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            words.append(np.frombuffer(edges, np.uint64).reshape(-1, 4))
+            parts.append(np.full(len(words[-1]), part, np.int32))
+    if not words:
         return
-    table = pa.Table.from_batches(held).combine_chunks()
-    context = table.column(0).chunk(0)
-    data, bounds = _bytes(context)
-    back, least = (table.column(k).to_numpy().astype(np.int64) for k in (1, 2))
-    starts, size = bounds[:-1], np.diff(bounds)
-    order = multikey_quicksort(_padded(data, starts + back, size - back, RIGHT).view(">u8").astype(np.uint64))
-    starts, size, back, least = starts[order], size[order], back[order], least[order]
-    for_all, edge = least_ids(data, starts, back, size, least)
-    windows = size - WINDOW + 1
-    has = np.arange(SPAN) < windows[:, None]
-    offsets = pa.array(np.concatenate(([0], np.cumsum(windows))).astype(np.int32))
-    ids = pa.ListArray.from_arrays(offsets, pa.array(for_all[has]))
-    edges = pa.ListArray.from_arrays(offsets, pa.array(edge[has]))
-    yield pa.RecordBatch.from_arrays([context.take(pa.array(order)), pa.array(back.astype(np.int32)), ids, edges], ["context", "back", "ids", "edges"])
+    part, word = np.concatenate(parts), np.concatenate(words)
+    order = np.lexsort((word[:, 1], word[:, 0]))
+    part, word = part[order], word[order]
+    new = np.concatenate(([True], (word[1:, :2] != word[:-1, :2]).any(1)))
+    own, ref = word[:, 2].view(np.int64), word[:, 3].astype(np.int64)
+    least = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
+    better = least < own
+    cols = [part[better], (ref[better] // 32).astype(np.int32), (ref[better] % 32).astype(np.int32), least[better]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["part", "row", "w", "least"])
 
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,40 +429,43 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[row[lo]]), pa.array(start[lo]), pa.array(start[hi] + WINDOW)], ["id", "start", "end"])
 
 
+def _key(context: str = "context") -> dict[str, Column]:
+    """128 bits that stand for a context in joins."""
+    return {"k1": F.xxhash64(context), "k2": F.xxhash64(F.lit("suffix"), context)}
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): the intervals (start, end) in bytes to remove from each document that has some, unmerged."""
-    spark = docs.sparkSession
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashes = rows.mapInArrow(_hashes(4 * parts), HASHES).repartition(parts, "bucket")
-    shared = written(hashes.mapInArrow(_shared, "id long, hashes binary"), "suffix-shared")
-    lists = shared.groupBy("id").agg(F.collect_list("hashes").alias("hashes"))
+    hashes = rows.mapInArrow(_hashes(buckets), HASHES).repartition(parts, "bucket")
+    shared = written(hashes.mapInArrow(_shared(buckets), "bucket int, docs binary, counts binary, hashes binary"), "suffix-shared")
+    lists = written(shared.repartition(parts, "bucket").mapInArrow(_by_document, "id long, hashes binary"), "suffix-lists")
+    dropped(shared)
     found = rows.join(lists.hint("shuffle_hash"), "id").select("id", "text", "hashes")
-    contexts = written(found.mapInArrow(_contexts, "id long, first long, back int, context binary"), "suffix-contexts")
-    suffixes = contexts.groupBy("context", "back").agg(F.min("id").alias("least"))
+    contexts = found.mapInArrow(_contexts, "id long, first long, back int, context binary")
+    contexts = written(contexts.withColumns(_key()), "suffix-contexts")
+    dropped(lists)
+    suffixes = contexts.groupBy("context", "back").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     leading = F.substring("context", F.col("back") + 1, F.lit(WINDOW + SPAN))
     before = F.reverse(F.hex(F.substring("context", F.lit(1), F.col("back"))))
     ranged = suffixes.repartitionByRange(leading, before)
-    judged = written(ranged.mapInArrow(_sorted, "context binary, back int, ids array<long>, edges array<boolean>"), "suffix-windows", 1 << 16)
-    fixed = _across(judged)
-    with_ids = contexts.join(fixed, ["context", "back"]).select("id", "first", "ids")
+    judged = written(ranged.mapInArrow(_sorted(buckets), JUDGED).withColumns(_key()).drop("context"), "suffix-windows", 1 << 16)
+    edges = judged.filter(F.col("bucket").isNotNull()).select("part", "bucket", "edges")
+    better = edges.repartition(parts, "bucket").mapInArrow(_across, "part int, row int, w int, least long")
+    patch = better.groupBy("part", "row").agg(F.map_from_entries(F.collect_list(F.struct("w", "least"))).alias("patch"))
+    ids = F.transform("ids", lambda x, k: F.coalesce(F.element_at("patch", k), x))
+    own = judged.filter(F.col("bucket").isNull()).join(written(patch, "suffix-patch"), ["part", "row"], "left")
+    own = own.select("k1", "k2", "back", "most", F.when(F.col("patch").isNull(), F.col("ids")).otherwise(ids).alias("ids"))
+    own = written(own.filter(F.exists("ids", lambda x: x < F.col("most"))).drop("most"), "suffix-ids")
+    with_ids = contexts.select("k1", "k2", "back", "id", "first").join(own, ["k1", "k2", "back"]).select("id", "first", "ids")
     spans = written(with_ids.mapInArrow(_intervals, "id long, start long, end long"), "suffix-spans", 1 << 14)
+    for df in (contexts, judged, own):
+        dropped(df)
     return spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _across(judged: DataFrame) -> DataFrame:
-    """Least ids over all partitions: windows at a partition's first or last suffix are grouped by their bytes."""
-    some = judged.filter(F.array_contains("edges", True))
-    wide = some.select("context", "back", "edges", F.posexplode("ids").alias("w", "own")).filter(F.col("edges")[F.col("w")])
-    wide = written(wide.select("context", "back", "w", "own", F.substring("context", F.col("w") + 1, F.lit(WINDOW)).alias("window")), "suffix-edges")
-    least = written(wide.groupBy("window").agg(F.min("own").alias("least")), "suffix-least")
-    better = wide.join(least, "window").filter(F.col("least") < F.col("own"))
-    patch = better.groupBy("context", "back").agg(F.map_from_entries(F.collect_list(F.struct("w", "least"))).alias("patch"))
-    patched = judged.join(written(patch, "suffix-patch"), ["context", "back"], "left")
-    ids = F.transform("ids", lambda x, k: F.coalesce(F.element_at("patch", k), x))
-    return written(patched.select("context", "back", F.when(F.col("patch").isNull(), F.col("ids")).otherwise(ids).alias("ids")), "suffix-ids")
-
-
 def merged(spans: list | None) -> list[tuple[int, int]]:
     """Maximal intervals of a union of intervals."""
     out: list[list[int]] = []
@@ -397,7 +491,7 @@ def _cut_out(text_at: int, spans_at: int, text_too: bool):
                 left = b"".join(kept)
                 row = {"n_bytes": len(raw), "n_removed": len(raw) - len(left), "n_spans": len(runs), "kept_sha256": hashlib.sha256(left).hexdigest()}
                 if text_too:
-                    row["kept_text"] = text if not runs else left.decode("utf-8", "replace")
+                    row["kept_text"] = text if not runs else left.decode("utf-8", "ignore")
                 out.append(row)
             kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * text_too
             made = pa.RecordBatch.from_pylist(out, pa.schema(kinds))
