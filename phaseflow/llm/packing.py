@@ -31,6 +31,9 @@ from phaseflow.llm.text import id_hash
 CAPACITY = 2048
 #: Branches that one completion may visit before it settles for its incumbent.
 NODES = 20_000
+#: Solutions that are tried, best one kept, while the lower bound is not met: the first takes best fits throughout, the
+#: others pass over some of them.
+ATTEMPTS, PASS_OVER = 4, 0.3
 
 
 @dataclass(frozen=True)
@@ -55,10 +58,20 @@ class Completion:
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
         self.capacity = capacity
-        self.counts = np.zeros(capacity + 1, np.int64)
+        self.all = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
-            self.counts[length] = n
-        self._reach()
+            self.all[length] = n
+
+    def bound(self) -> int:
+        """Bins that any packing needs: for each k, lengths above half the capacity take a bin each, those that leave
+        less than k take it alone, and lengths from k to half share what is left and further bins."""
+        size = self.capacity
+        n, total = (np.concatenate(([0], np.cumsum(v))) for v in (self.all, self.all * np.arange(size + 1)))
+        k, half = np.arange(size // 2 + 1), size // 2 + 1
+        alone = n[-1] - n[size - k + 1]
+        wide, wide_sum = n[size - k + 1] - n[half], total[size - k + 1] - total[half]
+        rest = (total[half] - total[k]) - (wide * size - wide_sum)
+        return int((alone + wide + np.maximum(0, -(-rest // size))).max())
 
     def _reach(self) -> None:
         """Sums that any number of the present lengths can make: a bound, as counts are left out."""
@@ -90,6 +103,8 @@ class Completion:
             end = int(np.searchsorted(self.present, min(left, most), "right"))
             options = []
             for x in self.present[max(0, end - 64) : end][::-1].tolist() if not chosen or nodes < NODES // 2 else self.present[max(0, end - 4) : end][::-1].tolist():
+                if self.rng is not None and self.rng.random() < PASS_OVER:
+                    continue
                 if self.counts[x] > chosen.count(x) and self._waste(left - x) < waste:
                     options.append((left - x, x, [*chosen, x]))
                     if left == x:
@@ -100,6 +115,17 @@ class Completion:
         return best
 
     def solve(self) -> Plan:
+        best, least = self._attempt(None), self.bound()
+        for k in range(1, ATTEMPTS):
+            if best.bins == least:
+                break
+            other = self._attempt(np.random.default_rng(k))
+            best = other if other.bins < best.bins else best
+        return best
+
+    def _attempt(self, rng: np.random.Generator | None) -> Plan:
+        self.rng, self.counts = rng, self.all.copy()
+        self._reach()
         used: dict[int, int] = {}
         runs: list[tuple[int, int, int, int]] = []
         bins = 0

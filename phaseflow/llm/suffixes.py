@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phaseflow.llm.scratch import dropped, written
 
@@ -477,35 +478,44 @@ def merged(spans: list | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut_out(text_at: int, spans_at: int, text_too: bool):
+RESULTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
+
+
+def _cut_out(text_at: int, names: list[str], text_too: bool):
+    """Rows (kept columns, text, spans) to the kept columns and the results, named ``names``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            out = []
-            for text, spans in zip(texts, batch.column(spans_at).to_pylist(), strict=True):
+            size, removed, n, digest, texts = [], [], [], [], []
+            for text, spans in zip(*(batch.column(k).to_pylist() for k in (text_at, text_at + 1)), strict=True):
                 raw, at, kept, runs = (text or "").encode(), 0, [], merged(spans)
                 for a, b in runs:
                     kept.append(raw[at:a])
                     at = b
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                row = {"n_bytes": len(raw), "n_removed": len(raw) - len(left), "n_spans": len(runs), "kept_sha256": hashlib.sha256(left).hexdigest()}
+                size.append(len(raw))
+                removed.append(len(raw) - len(left))
+                n.append(len(runs))
+                digest.append(hashlib.sha256(left).hexdigest())
                 if text_too:
-                    row["kept_text"] = text if not runs else left.decode("utf-8", "ignore")
-                out.append(row)
-            kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * text_too
-            made = pa.RecordBatch.from_pylist(out, pa.schema(kinds))
-            keep = [k for k in range(len(batch.columns)) if k not in (text_at, spans_at)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *made.columns], [*(batch.schema.names[k] for k in keep), *made.schema.names])
+                    texts.append(text if not runs else left.decode("utf-8", "ignore"))
+            made = [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string())]
+            made += [pa.array(texts, pa.string())] if text_too else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], *made], names)
 
     return run
 
 
-def deduplicated(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", text_too: bool = False) -> DataFrame:
-    """Columns ``keep`` and ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``text_too`` ``kept_text``."""
-    keep = keep or [id_col]
-    spans = removals(docs, id_col, text_col).withColumnRenamed("id", "__id")
+def deduplicated(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", text_too: bool = False, prefix: str = "") -> DataFrame:
+    """Columns ``keep`` and ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``text_too`` ``kept_text``.
+
+    The names of the results begin with ``prefix``; kept columns of these names give way to them.
+    """
+    results = [T.StructField(prefix + f.name, f.dataType) for f in RESULTS.fields[: 5 if text_too else 4]]
+    keep = [c for c in (keep or [id_col]) if c not in {f.name for f in results}]
+    spans = removals(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
     rows = docs.select(*keep, F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__id"))
-    joined = rows.join(spans.hint("shuffle_hash"), "__id", "left").select(*keep, "__text", "spans")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept_text string"] * text_too
-    return written(joined.mapInArrow(_cut_out(len(keep), len(keep) + 1, text_too), ", ".join(fields)), "suffix-kept")
+    joined = rows.join(spans.hint("shuffle_hash"), "__id", "left").select(*keep, "__text", "__spans")
+    schema = T.StructType([*joined.schema.fields[:-2], *results])
+    return written(joined.mapInArrow(_cut_out(len(keep), schema.names, text_too), schema), "suffix-kept")

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phaseflow.llm.scratch import written
 
@@ -155,31 +156,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(*_first(docs, labels, id_col, text_col, label_col, F.lit(True) if learn is None else learn))
 
 
-def _scored(model: Model, at: int, keep_text: bool, show: float | None):
+SENTENCE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+
+
+def _scored(model: Model, at: int, names: list[str], keep_text: bool, show: float | None):
+    """Rows to the kept columns and the results, named ``names``; the text is column ``at``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             judged = [model.judge(t or "") for t in batch.column(at).to_pylist()]
-            cols, names = [*batch.columns], [*batch.schema.names]
+            cols = [c for k, c in enumerate(batch.columns) if k != at or keep_text]
             cols.append(pa.array([s for s, _ in judged], pa.float64()))
-            names.append("score")
             if show is not None:
                 found = [[{"start": a, "end": b, "score": p} for a, b, p in spans if p >= show] for _, spans in judged]
-                cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))))
-                names.append("offending")
-            keep = [k for k in range(len(names)) if k != at or keep_text]
-            yield pa.RecordBatch.from_arrays([cols[k] for k in keep], [names[k] for k in keep])
+                cols.append(pa.array(found, pa.list_(SENTENCE)))
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "text", show: float | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: Sequence[str], text_col: str = "text", show: float | None = None, prefix: str = "") -> DataFrame:
     """Columns ``keep`` and ``score``; with ``show`` also ``offending``: the sentences that score at least that much.
 
-    A sentence is (start, end, score), in characters of the text. ``text_col`` may be in ``keep`` too.
+    A sentence is (start, end, score), in characters of the text. ``text_col`` may be in ``keep`` too. The names of the
+    results begin with ``prefix``; kept columns of these names give way to them.
     """
+    sentence = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    results = [T.StructField(f"{prefix}score", T.DoubleType())]
+    results += [T.StructField(f"{prefix}offending", T.ArrayType(sentence))] if show is not None else []
+    keep = [c for c in keep if c not in {f.name for f in results}]
     kept = text_col in keep
     rows = docs.select(*keep) if kept else docs.select(*keep, F.col(text_col).alias("__text"))
     at = rows.columns.index(text_col if kept else "__text")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for k, f in enumerate(rows.schema.fields) if kept or k != at] + ["score double"]
-    fields += ["offending array<struct<start:int,end:int,score:double>>"] if show is not None else []
-    return rows.mapInArrow(_scored(model, at, kept, show), ", ".join(fields))
+    schema = T.StructType([*(f for k, f in enumerate(rows.schema.fields) if kept or k != at), *results])
+    return rows.mapInArrow(_scored(model, at, schema.names, kept, show), schema)
