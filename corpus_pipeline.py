@@ -20,7 +20,8 @@ from phaseflow.session import reachable, table
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score at least ``registry.TOXIC``; the model sees the labels that op7 sees."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~registry.held_out(F.col("doc_id")))
-    return toxicity.score(docs, model, docs.columns).filter(F.col("score") < registry.TOXIC).drop("score")
+    scored = toxicity.score(docs, model, docs.columns, prefix="__tox_")
+    return scored.filter(F.col("__tox_score") < registry.TOXIC).select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages out that a document with a smaller id has; documents stay, if need be with an empty text."""
     keep = [c for c in docs.columns if c != "text"]
-    cut = suffixes.deduplicated(docs, keep=keep, text_too=True).withColumnRenamed("kept_text", "text")
+    cut = suffixes.deduplicated(docs, keep=keep, text_too=True, prefix="__cut_").withColumnRenamed("__cut_kept_text", "text")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
