@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 FEATURES = ("packet_length", "inter_arrival_time", "direction", "up_down_rate")
 #: Another name under which the rate may be asked for.
 ALIASES = {"up_down_ratio": "up_down_rate"}
-IN_FLOW = Window.partitionBy("pcap", "flow_key", "seg").orderBy("pkt_no")
+
+
+def in_flow() -> WindowSpec:
+    return Window.partitionBy("pcap", "flow_key", "seg").orderBy("pkt_no")
 
 
 def checked(names: Sequence[str]) -> list[str]:
@@ -27,7 +30,7 @@ def with_features(assembled: DataFrame) -> DataFrame:
     The gap is 0 for the first packet and may be negative; the rate is length over gap with the sign of the direction,
     0 for the first packet and null where the gap cancels the smoothing term.
     """
-    iat = F.coalesce(F.col("ts_s") - F.lag("ts_s").over(IN_FLOW), F.lit(0.0))
+    iat = F.coalesce(F.col("ts_s") - F.lag("ts_s").over(in_flow()), F.lit(0.0))
     df = assembled.withColumn("packet_length", F.col("length").cast("double")).withColumn("inter_arrival_time", iat)
     rate = F.try_divide(F.col("packet_length"), F.col("inter_arrival_time") + 1e-6) * F.col("direction")
     return df.withColumn("up_down_rate", F.when(F.col("pos") == 1, 0.0).otherwise(rate))

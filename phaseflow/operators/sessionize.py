@@ -7,21 +7,23 @@ partitioning, so one shuffle on (pcap, flow key) serves the whole operator.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from phaseflow.functions import packets as P
 
-BY_KEY = Window.partitionBy("pcap", "flow_key").orderBy("pkt_no")
+
+def by_key() -> WindowSpec:
+    return Window.partitionBy("pcap", "flow_key").orderBy("pkt_no")
 
 
 def segmented(packets: DataFrame, timeout: float) -> DataFrame:
     """Adds flow_key, is_fin, gap, prev_fin, boundary, seg and pos."""
     df = packets.filter(P.with_ports()).withColumn("flow_key", P.flow_key()).withColumn("is_fin", P.terminates())
-    df = df.withColumn("gap", F.col("ts_s") - F.lag("ts_s").over(BY_KEY)).withColumn("prev_fin", F.lag("is_fin").over(BY_KEY))
+    df = df.withColumn("gap", F.col("ts_s") - F.lag("ts_s").over(by_key())).withColumn("prev_fin", F.lag("is_fin").over(by_key()))
     df = df.withColumn("late", F.coalesce(F.col("gap") > timeout, F.lit(False)))
     df = df.withColumn("boundary", F.col("prev_fin").isNull() | F.col("prev_fin") | F.col("late"))
-    df = df.withColumn("seg", F.sum(F.col("boundary").cast("int")).over(BY_KEY))
+    df = df.withColumn("seg", F.sum(F.col("boundary").cast("int")).over(by_key()))
     return df.withColumn("pos", F.row_number().over(Window.partitionBy("pcap", "flow_key", "seg").orderBy("pkt_no")))
 
 
@@ -33,14 +35,14 @@ def assigned(packets: DataFrame, timeout: float = 600.0, max_length: int = 1000)
     """
     df = segmented(packets, timeout)
     df = df.withColumn("kept", F.col("pos") <= max_length)
-    fin_dropped = F.coalesce(F.col("prev_fin") & (F.lag("pos").over(BY_KEY) > max_length), F.lit(False))
+    fin_dropped = F.coalesce(F.col("prev_fin") & (F.lag("pos").over(by_key()) > max_length), F.lit(False))
     df = df.withColumn("fin_dropped", fin_dropped)
     step = F.when(F.col("prev_fin").isNull(), 0).otherwise(F.col("boundary").cast("int") + (F.col("fin_dropped") & F.col("late")).cast("int"))
-    df = df.withColumn("flow_idx", F.sum(step).over(BY_KEY).cast("int"))
+    df = df.withColumn("flow_idx", F.sum(step).over(by_key()).cast("int"))
     from_fin = F.col("fin_dropped") & ~F.col("late")
     unknown = F.coalesce(F.col("prev_fin"), F.lit(False)) & ~F.col("fin_dropped")
     for name, own in (("open_ip", "src_ip"), ("open_port", "src_port"), ("open_ts", "ts_s")):
-        value = F.when(from_fin, F.lag(own).over(BY_KEY)).when(unknown & F.lit(name != "open_ts"), None).otherwise(F.col(own))
+        value = F.when(from_fin, F.lag(own).over(by_key())).when(unknown & F.lit(name != "open_ts"), None).otherwise(F.col(own))
         df = df.withColumn(name, value)
     seg = Window.partitionBy("pcap", "flow_key", "seg").orderBy("pkt_no")
     first = lambda c: F.first(c).over(seg)
