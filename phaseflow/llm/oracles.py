@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage."""
 
+from phaseflow.llm import licenses
+
 SQL: dict[str, str] = {}
 
 SQL["op4_mixing"] = r"""
@@ -56,3 +58,27 @@ w AS (SELECT r.a AS node, CASE WHEN bool_or(j.own = 'allow') THEN 'allow' WHEN b
       FROM r JOIN j ON j.node = r.b GROUP BY r.a)
 SELECT page_id, host, path, rule, coalesce(own, spread, 'allow') AS verdict FROM j LEFT JOIN w USING (node)
 """
+
+
+def _canonical(text: str) -> str:
+    """List of a text's lines in canonical form."""
+    form = "' ' || trim(regexp_replace(x, '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' '"
+    for a, b in licenses.EQUAL:
+        form = f"replace({form}, ' {a} ', ' {b} ')"
+    low = f"translate(replace(coalesce({text}, ''), chr(13), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    lines = f"list_filter(string_split({low}, chr(10)), lambda x: NOT regexp_matches(x, '{licenses.COPYRIGHT}'))"
+    return f"list_filter(list_transform({lines}, lambda x: trim({form})), lambda x: x <> '')"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.known())
+SQL["op9_licenses"] = f"""
+WITH given(license, text) AS (VALUES {_KNOWN}),
+known AS (SELECT array_to_string({_canonical("text")}, ' ') AS form, min(license) AS license FROM given GROUP BY 1),
+d AS (SELECT doc_id, {_canonical("text")} AS lines FROM documents),
+u AS (SELECT doc_id, -1 AS at_, array_to_string(lines, ' ') AS form FROM d
+      UNION ALL SELECT doc_id, i, lines[i] FROM d, unnest(range(1, len(lines) + 1)) AS r(i)),
+h AS (SELECT doc_id, at_, license FROM u JOIN known USING (form))
+SELECT doc_id, min(license) FILTER (at_ = -1) AS text_license, count(DISTINCT at_) FILTER (at_ >= 0) AS n_notices,
+       coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (at_ >= 0), '') AS notices
+FROM (SELECT DISTINCT doc_id FROM d) LEFT JOIN h USING (doc_id) GROUP BY doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseflow.llm import caps, mixing, oracles, packing, quality, simhash, suffixes, tokens, toxicity, urls
+from phaseflow.llm import caps, licenses, mixing, oracles, packing, quality, simhash, suffixes, tokens, toxicity, urls
 from phaseflow.llm.scratch import written
 from phaseflow.session import table
 
@@ -35,6 +35,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "d2")
@@ -78,5 +82,5 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(*tokens.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffixes, op2_caps, op3_packing, op4_mixing, op5_simhash, op6_urls, op7_toxicity, op8_tokens, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_caps, op3_packing, op4_mixing, op5_simhash, op6_urls, op7_toxicity, op8_tokens, op9_licenses, op10_quality)}
 ORACLES = oracles.SQL
