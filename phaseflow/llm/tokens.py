@@ -21,7 +21,8 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phaseflow.llm import worker
 from phaseflow.llm.scratch import written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,10 +47,23 @@ _BLANK = re.compile(r"\s")
 #: Words of letters with ASCII punctuation after them, maybe several with single line breaks between: each run of
 #: letters or punctuation and each of these breaks is a word of the pattern.
 _SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+[!-/:-@\[-`{-~]*(?:\n[A-Za-zÀ-ÖØ-öø-ɏ]+[!-/:-@\[-`{-~]*)*")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _RUNS = re.compile(r"\n|[A-Za-zÀ-ÖØ-öø-ɏ]+|[!-/:-@\[-`{-~]+")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
+
+_BYTES = _byte_characters()
+_LETTERS = {k: "".join(_BYTES[b] for b in chr(k).encode()) for k in range(0xC0, 0x250)}
 _encoders: dict[str, Encoder] = {}
 
+worker.keeps("tokens", _encoders.clear)
+
 
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
@@ -72,6 +87,7 @@ class Encoder:
     @staticmethod
     def of(path: str) -> Encoder:
         """The worker's encoder of a file."""
+        worker.enter("tokens")
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         return _encoders[path]
@@ -79,22 +95,11 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, words: list[str], before: str) -> Iterator[bytes]:
-        """Ids of words without white space, each after ``before``.
-
-        They go through the library in one text, with a line break after each, which is a word of the pattern of its
-        own.
-        """
-        for at in range(0, len(words), 1 << 14):
-            some = words[at : at + (1 << 14)]
-            ids = self._plain([before + f"\n{before}".join(some) + "\n"])[0]
-            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == self.line) * 4
-            if len(ends) != len(some):
-                raise ValueError("a word of the tokenizer's pattern spans a line break")
-            begin = 0
-            for end in ends.tolist():
-                yield ids[begin:end]
-                begin = end + 4
+    def _each(self, words: Iterable[str], blank: bool) -> Iterator[bytes]:
+        """Ids of runs, each a word of the pattern, after a blank or not, straight from the library's model."""
+        before, tokenize = _BYTES[32] if blank else "", self.tokenizer.model.tokenize
+        for w in words:
+            yield array("I", [t.id for t in tokenize(before + (w if w.isascii() else w.translate(_LETTERS)))]).tobytes()
 
     def _learn(self, words: set[str]) -> list[str]:
         """Puts words, each after a blank, into the cache; those of several runs are put together from these.
@@ -106,24 +111,22 @@ class Encoder:
             kept = {w: old[w] for w in words if w in old}
             cache.update(kept)
             words = words.difference(kept)
-        whole = {w for w in words if w.isalpha()}
-        runs, blank = {}, []
+        whole = {w for w in words if w.isalpha() and (w.isascii() or _LATIN.fullmatch(w))}
+        runs, plain = {}, []
         for w in words.difference(whole):
             if _SIMPLE.fullmatch(w):
                 runs[w] = r = _RUNS.findall(w)
                 whole.add(r[0])
-            elif not w or _BLANK.search(w):
-                blank.append(w)
             else:
-                whole.add(w)
-        cache.update(zip(blank, self._plain([f" {w}" for w in blank]), strict=True))
+                plain.append(w)
+        cache.update(zip(plain, self._plain([f" {w}" for w in plain]), strict=True))
         heads = list(whole.difference(cache))
-        cache.update(zip(heads, self._each(heads, " "), strict=True))
+        cache.update(zip(heads, self._each(heads, True), strict=True))
         if len(bare) > CACHE:
             bare.clear()
             bare["\n"] = np.array([self.line], "<u4").tobytes()
         rest = list({x for r in runs.values() for x in r[1:]}.difference(bare))
-        bare.update(zip(rest, self._each(rest, ""), strict=True))
+        bare.update(zip(rest, self._each(rest, False), strict=True))
         for w, (head, *tail) in runs.items():
             cache[w] = cache[head] + (bare[tail[0]] if len(tail) == 1 else b"".join([bare[x] for x in tail]))
         return [w for w, r in runs.items() if len(r) > 2 and "\n" in r]
@@ -292,13 +295,14 @@ DOCS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        part, block, doc_ids, lengths, n, bits, payload = batch.columns
         for row in range(batch.num_rows):
-            part, block, doc_ids, lengths, n, bits, payload = (c[row].as_py() for c in batch.columns)
-            ends = np.cumsum(np.array(lengths, np.int64))
-            raw = memoryview(unpacked(payload, bits, 0, n).tobytes())
-            crcs = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths, strict=True)]
-            m = len(doc_ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, block, np.int32)), pa.array(doc_ids, pa.int64()), pa.array(ends - lengths), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], schema=DOCS)
+            ids, size = doc_ids[row].values, lengths[row].values.to_numpy()
+            ends = np.cumsum(size)
+            raw = memoryview(unpacked(memoryview(payload[row].as_buffer()), bits[row].as_py(), 0, n[row].as_py())).cast("B")
+            crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+            m = len(size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part[row].as_py(), np.int32)), pa.array(np.full(m, block[row].as_py(), np.int32)), ids, pa.array(ends - size), pa.array(size), pa.array(crcs, pa.int64())], schema=DOCS)
 
 
 def read_documents(blocks: DataFrame, index: DataFrame) -> DataFrame:
