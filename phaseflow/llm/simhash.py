@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phaseflow.llm import worker
 from phaseflow.llm.components import components
 from phaseflow.llm.scratch import written
 
@@ -62,6 +63,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker.enter("simhash")
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary())
         fps = np.array([fingerprint(t.as_py() or b"") for t in texts], np.uint64)

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phaseflow.llm import worker
 from phaseflow.llm.scratch import dropped, written
 
 WINDOW, GRAM = 50, 20
@@ -46,9 +47,11 @@ BASE = 0x9E3779B97F4A7C15 | 1
 SMALL = 64
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+worker.keeps("suffixes", _powers.clear)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    worker.enter("suffixes")
     if n not in _powers:
         power = np.full(n, BASE, np.uint64)
         power[0] = 1

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phaseflow.llm import worker
 from phaseflow.llm.scratch import written
 
 SAMPLE, SAMPLE_CHARS = 8_000, 40_000_000
@@ -35,7 +36,7 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 LEAST_TEXTS, LIFT = 3, 4.0
 STEPS, RATE, L1, START = 300, 0.5, 0.1, -6.0
 #: Words of which a worker remembers the weight.
-CACHE = 500_000
+CACHE = 250_000
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -163,6 +164,7 @@ def _scored(model: Model, at: int, names: list[str], keep_text: bool, show: floa
     """Rows to the kept columns and the results, named ``names``; the text is column ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.enter("toxicity")
         for batch in batches:
             judged = [model.judge(t or "") for t in batch.column(at).to_pylist()]
             cols = [c for k, c in enumerate(batch.columns) if k != at or keep_text]
