@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage."""
 
-from phaseflow.llm import licenses
+from phaseflow.llm import licenses, quality
 
 SQL: dict[str, str] = {}
 
@@ -82,3 +82,85 @@ SELECT doc_id, min(license) FILTER (at_ = -1) AS text_license, count(DISTINCT at
        coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (at_ >= 0), '') AS notices
 FROM (SELECT DISTINCT doc_id FROM d) LEFT JOIN h USING (doc_id) GROUP BY doc_id
 """
+
+SQL["op1_suffixes"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS r(i)),
+m AS (SELECT s, min(doc_id) AS lo FROM w GROUP BY s),
+c AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE lo < doc_id),
+n AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true)::INT AS new FROM c),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT r.doc_id, run, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) + 1,
+                                         2 * (a - coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0))) AS piece FROM r JOIN d USING (doc_id)),
+o AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS tail, string_agg(piece, '' ORDER BY a) AS head FROM k GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)
+"""
+
+SQL["op2_caps"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM v
+       WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+l AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN l USING (vec_id)
+"""
+
+
+def _outliers() -> str:
+    """The base rules and the determinant's steps, written out."""
+    d, pairs, floors = quality.D, quality.PAIRS, quality.FLOORS
+    x = ["ln(1 + n_words)", "ln(word_chars / n_words)", "ln(1 + n_symbols / n_words)", "n_dup_lines / greatest(n_lines, 1)", "n_repeat_words / n_words"]
+    words = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda z: z <> '')"
+    lines = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda z: regexp_matches(z, '[^\x20\x09-\x0D]'))"
+    out = f"""WITH t AS (SELECT doc_id, lang IS NULL AS ln, coalesce(lang, '') AS lg, source IS NULL AS sn, coalesce(source, '') AS sr, {words} AS w, {lines} AS ls,
+  len(regexp_extract_all(coalesce(text, ''), '[{quality.SYMBOLS}]')) AS n_symbols FROM documents),
+g AS (SELECT doc_id, i, list_aggregate(w[i:i+4], 'string_agg', ' ') AS s FROM t, unnest(range(1, len(w) - 3)) AS r(i)),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g),
+e AS (SELECT doc_id, i, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS k FROM h WHERE c > 1),
+f AS (SELECT doc_id, sum(k) AS k FROM e GROUP BY doc_id),
+b AS (SELECT doc_id, ln, lg, sn, sr, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda z: length(z))), 0)::BIGINT AS word_chars, n_symbols, len(ls) AS n_lines,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(k, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN f USING (doc_id)),
+j AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+x AS MATERIALIZED (SELECT ln, lg, sn, sr, doc_id, {", ".join(f"({c})::DOUBLE AS x{i}" for i, c in enumerate(x))} FROM j WHERE NOT base_failed)"""
+    key = "ln, lg, sn, sr"
+    quant = lambda i, q: f"list_sort(list(floor(x{i} * 64)))[ceil({q} * count(*))::BIGINT]"
+    first = [f"({quant(i, 0.5)} + 0.5) / 64 AS m{i}" for i in range(d)]
+    first += [f"((({quant(i, 0.75)} + 1) / 64 - {quant(i, 0.25)} / 64) / 1.349) ** 2 + {floors[i] ** 2!r}::DOUBLE AS c{i}_{i}" if i == k else f"0.0::DOUBLE AS c{i}_{k}" for i, k in pairs]
+    out += f", p0 AS (SELECT {key}, {', '.join(first)} FROM x GROUP BY {key})"
+
+    def distances(k: int) -> str:
+        """Cholesky factors, one CTE each as later ones need earlier ones, then forward substitution."""
+        sql, last = "", f"p{k}"
+        for i, j in pairs:
+            rest = " - ".join([f"c{i}_{j}", *[f"l{i}_{z} * l{j}_{z}" for z in range(j)]])
+            name = f"f{k}_{i}{j}"
+            sql += f", {name} AS (SELECT *, {f'sqrt({rest})' if i == j else f'({rest}) / l{j}_{j}'} AS l{i}_{j} FROM {last})"
+            last = name
+        base = f"SELECT x.*, {', '.join(f'm{i}' for i in range(d))}, {', '.join(f'l{i}_{j}' for i, j in pairs)} FROM x JOIN {last} USING ({key})"
+        sql += f", y{k}_ AS ({base})"
+        last = f"y{k}_"
+        for i in range(d):
+            rest = " - ".join([f"x{i} - m{i}", *[f"l{i}_{z} * y{z}" for z in range(i)]])
+            sql += f", y{k}_{i} AS (SELECT *, ({rest}) / l{i}_{i} AS y{i} FROM {last})"
+            last = f"y{k}_{i}"
+        return sql + f", d{k} AS (SELECT {key}, doc_id, {', '.join(f'x{i}' for i in range(d))}, {' + '.join(f'y{i} * y{i}' for i in range(d))} AS d2 FROM {last})"
+
+    for k in range(quality.STEPS):
+        out += distances(k)
+        out += f", n{k} AS MATERIALIZED (SELECT *, floor(log2(d2 + 1e-6) * 8) AS bin FROM d{k}), q{k} AS (SELECT {key}, list_sort(list(bin))[ceil({quality.SUBSET} * count(*))::BIGINT] AS cut FROM n{k} GROUP BY {key})"
+        means = [f"avg(x{i}) AS m{i}" for i in range(d)]
+        cov = [f"(avg(x{i} * x{j}) - avg(x{i}) * avg(x{j})) * {quality.CONSISTENT} + {floors[i] ** 2 if i == j else 0.0!r}::DOUBLE AS c{i}_{j}" for i, j in pairs]
+        out += f", p{k + 1} AS (SELECT {key}, {', '.join([*means, *cov])} FROM n{k} JOIN q{k} USING ({key}) WHERE bin <= cut GROUP BY {key})"
+    out += distances(quality.STEPS)
+    return f"""{out}
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {quality.CUT}, false) AS kept, n_lines, round(d2, 4) AS d2
+FROM j LEFT JOIN (SELECT doc_id, d2 FROM d{quality.STEPS}) USING (doc_id)"""
+
+
+SQL["op10_quality"] = _outliers()
