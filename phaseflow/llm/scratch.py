@@ -29,7 +29,7 @@ BATCH_ROWS = 256
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def written(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The returned frame has no lineage but the files, so a lost executor costs its running tasks only.
@@ -41,7 +41,7 @@ def written(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     try:
         for k, v in held.items():
             spark.conf.set(k, v)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

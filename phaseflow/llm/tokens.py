@@ -40,7 +40,7 @@ END_ID = 0
 #: A block ends with the document that reaches so many ids.
 BLOCK = 1 << 17
 #: Words in each of the two generations of a worker's cache, and characters that are split into words at a time.
-CACHE, PART = 500_000, 1 << 20
+CACHE, PART = 700_000, 1 << 20
 
 _UNSAFE = re.compile(r"\s \s")
 _BLANK = re.compile(r"\s")
@@ -282,7 +282,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id")
-    blocks = written(dealt.mapInArrow(_blocks(path, end_id, block), BLOCKS_DDL), "tokens")
+    blocks = written(dealt.mapInArrow(_blocks(path, end_id, block), BLOCKS_DDL), "tokens", compression="none")  # packed already
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
