@@ -1,16 +1,16 @@
 """Toxicity by multiple-instance learning.
 
-A text is a bag of sentences; only texts have labels. A sentence's score is logistic in the words it holds, the scores
-are combined by noisy-or (a text is toxic unless none of its sentences is), and the weights are fitted to the labels of
-texts through that combination, so sentences are learned without labels of their own and the offending ones can be
-shown. Weights are sparse: words that do not help to tell labels get none.
+A text is a bag of sentences; only texts have labels. A sentence's score is logistic in the words it holds and their
+beginnings, the scores are combined by noisy-or (a text is toxic unless none of its sentences is), and the weights are
+fitted to the labels of texts through that combination, so sentences are learned without labels of their own and the
+offending ones can be shown. Weights are sparse: what does not help to tell labels has none. A sentence without any
+weight scores 0, so a long clean text does not gather a score from its many sentences.
 
 The model is fitted on the driver to a sample of at most ``SAMPLE`` labelled texts of at most ``SAMPLE_CHARS``
 characters together, the first by a hash of their id; scoring covers every text whole and needs words only.
 
-Cases: a null or empty text has no sentence and the score of one sentence without words; texts without a label are scored like others; without any labelled text, or without toxic ones, the model
-has a low constant score; repeated labels of one text count once each; repeated rows are scored alike; extra columns
-stay.
+Cases: a null or empty text scores 0; texts without a label are scored like others; without labelled toxic texts all
+scores are 0; of several labels of one text the greatest counts; repeated rows are scored alike; extra columns stay.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ SAMPLE, SAMPLE_CHARS = 8_000, 40_000_000
 #: texts have it and toxic texts have it LIFT times as often as others.
 BEGINNINGS = (3, 4, 5, 6, 7)
 LEAST_TEXTS, LIFT = 3, 4.0
-STEPS, RATE, L1, START = 300, 0.5, 0.1, -6.0
+STEPS, RATE, L1, START = 300, 0.5, 0.1, -3.0
 #: Words of which a worker remembers the weight.
 CACHE = 250_000
 
@@ -73,19 +73,19 @@ class Model:
         w = self.of_word[word] = sum(get(f, 0.0) for f in features(word))
         return w
 
-    def logit(self, words: set[str]) -> float:
-        """Of a sentence with these words in lower case."""
-        known, total = self.of_word.get, self.bias
+    def probability(self, words: set[str]) -> float:
+        """Score of a sentence with these words in lower case; 0 if no feature of them has a weight."""
+        known, total = self.of_word.get, 0.0
         for w in words:
             x = known(w)
             total += self.weight(w) if x is None else x
-        return total
+        return _sigmoid(self.bias + total) if total else 0.0
 
     def judge(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score of a text, and (start, end, score) of its sentences."""
-        spans = [(a, b, _sigmoid(self.logit(set(_WORD.findall(text[a:b].lower()))))) for a, b in sentences(text)]
-        clean = sum(math.log1p(-min(p, 1 - 1e-12)) for _, _, p in spans) if spans else math.log1p(-_sigmoid(self.bias))
-        return -math.expm1(clean), spans
+        spans = [(a, b, self.probability(set(_WORD.findall(text[a:b].lower())))) for a, b in sentences(text)]
+        clean = sum(math.log1p(-min(p, 1 - 1e-12)) for _, _, p in spans)
+        return abs(math.expm1(clean)), spans
 
 
 def _sigmoid(z: float) -> float:
@@ -113,9 +113,11 @@ def fit(texts: Sequence[str], labels: Sequence[int]) -> Model:
     for k, t in enumerate(texts):
         for a, b in sentences(t):
             found = {f for w in set(_WORD.findall(t[a:b].lower())) for f in features(w)}
-            columns.extend(vocabulary[f] for f in found if f in vocabulary)
-            ends.append(len(columns))
-            owner.append(k)
+            own = [vocabulary[f] for f in found if f in vocabulary]
+            if own:  # sentences without features score 0
+                columns.extend(own)
+                ends.append(len(columns))
+                owner.append(k)
     col, doc = np.array(columns, np.int32), np.array(owner)
     size = np.diff(np.array([0, *ends]))
     row = np.repeat(np.arange(len(size), dtype=np.int32), size)

@@ -36,16 +36,16 @@ def test_learns_and_locates(spark):
 
 
 def test_noisy_or():
-    model = toxicity.Model(-3.0, {"bad$": 4.0})
-    score, spans = model.judge("All fine. This is bad! Bad bad.\n\n ...")
-    assert [s for _, _, s in spans] == [toxicity._sigmoid(z) for z in (-3.0, 1.0, 1.0)]
+    model = toxicity.Model(-3.0, {"bad$": 4.0, "ver": -1.0})
+    score, spans = model.judge("All fine. This is bad! Very bad bad.\n\n ...")
+    assert [s for _, _, s in spans] == [0.0, toxicity._sigmoid(1.0), toxicity._sigmoid(0.0)]
     assert np.isclose(score, 1 - np.prod([1 - s for _, _, s in spans]))
-    assert np.isclose(model.judge("")[0], toxicity._sigmoid(-3.0))
+    assert model.judge("")[0] == model.judge("Fine. " * 100_000)[0] == 0
 
 
 def test_odd_rows(spark, docs, texts, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs, none)
     got = toxicity.score(docs.drop("score"), model, ["doc_id", "lang"]).collect()
-    assert len(got) == len(texts) and all(0 <= r.score < 0.7 for r in got)
+    assert len(got) == len(texts) and all(r.score == 0 for r in got)
     assert toxicity.score(no_docs.drop("score"), toxicity.train(no_docs, none), ["doc_id"]).count() == 0
