@@ -6,19 +6,26 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 
 
+#: Folders of applications that name none.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (single machine)."""
     folder = spark.conf.get(KEY, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="phaseflow-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set(KEY, folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="phaseflow-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        folder = _own[app]
     return folder.rstrip("/")
 
 
@@ -45,13 +52,33 @@ def written(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS, compression:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+    for paths in _made[-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a frame of :func:`written` that no plan reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+#: Tables that each :func:`alone` under way has made so far.
+_made: list[list[str]] = []
+
+
+def alone(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """The frame of ``make``, written; the tables written on the way to it are deleted."""
+    _made.append([])
+    try:
+        out = written(make(), tag)
+    finally:
+        paths = _made.pop()
+    for path in paths[:-1]:
+        _delete(spark, path)
+    return out

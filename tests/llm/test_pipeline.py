@@ -2,14 +2,16 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
 
-from phaseflow.llm import mixing, registry, toxicity
+from phaseflow.llm import mixing, registry, scratch, toxicity
 from phaseflow.llm.scratch import written
 from phaseflow.session import table
-from tests.llm import test_simhash, test_suffixes
+from tests.llm import test_simhash as plain_simhash
+from tests.llm import test_suffixes as plain_suffixes
 from tests.llm.test_tokens_and_packing import ids
 
 DATA = "/root/testdata/sf0.001"
@@ -41,20 +43,20 @@ def test_toxicity(spark, staged):
 
 def test_simhash(staged):
     before = by_id(staged[1])
-    component = test_simhash.brute({i: test_simhash.plain(t) for i, t in before.items()})
+    component = plain_simhash.brute({i: plain_simhash.plain(t) for i, t in before.items()})
     assert by_id(staged[2]) == {i: t for i, t in before.items() if component[i] == i}
 
 
 def test_suffixes(staged):
     before, after = by_id(staged[2]), by_id(staged[3])
-    want = test_suffixes.brute(list(before.items()))
+    want = plain_suffixes.brute(list(before.items()))
     assert set(after) == set(before)
     for i, t in after.items():
         size, removed, _, digest = want[i]
         if not removed:
             assert t == before[i]
         assert len(t.encode()) <= size - removed
-        assert t.isascii() is False or test_suffixes.hashlib.sha256(t.encode()).hexdigest() == digest
+        assert t.isascii() is False or plain_suffixes.hashlib.sha256(t.encode()).hexdigest() == digest
     assert all(r.n_chars == len(r.text) for r in staged[3].collect())
 
 
@@ -74,6 +76,24 @@ def test_packing(staged):
     assert done == {i: n * len(ids(texts[i])) for i, n in times.items()}
 
 
+def test_run_leaves_its_result_only(spark, staged, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_folder", lambda spark: str(tmp_path))
+    out = corpus_pipeline.run(spark, DATA)
+    assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["pipeline-packing"]
+    assert sorted(out.drop("sequence_id", "offset").collect()) == sorted(staged[5].drop("sequence_id", "offset").collect())
+
+
+def test_own_folder_where_none_is_named(spark):
+    class Unset:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        sparkContext = spark.sparkContext  # noqa: N815
+
+    folder = scratch.shared_folder(Unset)
+    assert Path(folder).is_dir() and scratch.shared_folder(Unset) == folder
+
+
 def odd_stage_rows(spark, docs):
     return docs.select("doc_id", "text", "lang", "source", "n_chars", "copies", "score", "id", "hashes")
 
