@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phaseflow.llm import mixing, packing, registry, simhash, suffixes, toxicity
-from phaseflow.llm.scratch import written
+from phaseflow.llm.scratch import alone, dropped, written
 from phaseflow.session import reachable, table
 
 
@@ -65,6 +65,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(reachable(spark), sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before = docs
+        docs = alone(spark, lambda stage=stage, before=before: stage(spark, before, sf_dir), f"pipeline-{name}")
+        if k:
+            dropped(before)
     return docs
