@@ -91,7 +91,8 @@ def q_iat(spark, sf_dir):
 
 @query
 def q_up_down_rate(spark, sf_dir):
-    return features.with_features(_flow_packets(spark, sf_dir)).select("pkt_no", F.round(F.col("up_down_rate") * 1000, 4).alias("rate"))
+    rate = F.round(F.col("up_down_rate") * 1000, 4)
+    return features.with_features(_flow_packets(spark, sf_dir)).select("pkt_no", F.when(rate == 0, 0.0).otherwise(rate).alias("rate"))  # no minus zero
 
 
 @query

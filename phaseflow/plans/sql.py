@@ -73,8 +73,9 @@ FEATURED = (
 ft AS (SELECT *, coalesce(ts_s - lag(ts_s) OVER (PARTITION BY flow_key, seg ORDER BY pkt_no), 0.0) AS iat FROM fp)"""
 )
 ORACLES["q_iat"] = f"WITH {FEATURED} SELECT pkt_no, round(iat, 6) AS iat FROM ft"
-ORACLES["q_up_down_rate"] = f"""WITH {FEATURED}
-SELECT pkt_no, round(CASE WHEN pos = 1 THEN 0.0 ELSE CASE WHEN iat + 1e-6 = 0 THEN NULL ELSE length::DOUBLE / (iat + 1e-6::DOUBLE) END * direction END * 1000, 4) AS rate FROM ft"""
+ORACLES["q_up_down_rate"] = f"""WITH {FEATURED},
+rt AS (SELECT pkt_no, round(CASE WHEN pos = 1 THEN 0.0 ELSE CASE WHEN iat + 1e-6 = 0 THEN NULL ELSE length::DOUBLE / (iat + 1e-6::DOUBLE) END * direction END * 1000, 4) AS r FROM ft)
+SELECT pkt_no, CASE WHEN r = 0 THEN 0.0::DOUBLE ELSE r END AS rate FROM rt"""
 
 TURNS = r"""
 tn AS (SELECT conv_id::VARCHAR AS flow_id, (turn + 1)::INT AS pos, length(text)::INT AS length, CASE WHEN role = 'assistant' THEN -1 ELSE 1 END AS direction FROM conversations)"""
