@@ -106,7 +106,7 @@ def vectors(stats: DataFrame) -> DataFrame:
 def _first_estimate(points: DataFrame) -> DataFrame:
     """Median and interquartile range per group and statistic, from counts in bins of a 64th."""
     wide = points.select(G, F.posexplode(F.array(*X)).alias("dim", "x")).select(G, "dim", F.floor(F.col("x") * 64).alias("bin"))
-    counts = wide.groupBy(G, "dim", "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(wide.groupBy(G, "dim", "bin").agg(F.count(F.lit(1)).alias("n")), "quality-counts")
     w = Window.partitionBy(G, "dim")
     run = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     spread = run.groupBy(G).agg(*[f for i in range(D) for f in (
@@ -144,7 +144,7 @@ def _step(points: DataFrame, factor: DataFrame) -> DataFrame:
     """Mean and covariance of the nearest part of each group: one concentration step."""
     near = _distance(points, factor).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 8))
     moments = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}_{j}") for i, j in PAIRS]]
-    bins = near.groupBy(G, "bin").agg(*moments)
+    bins = written(near.groupBy(G, "bin").agg(*moments), "quality-bins")  # dealt by bin, so no task sums up a whole group
     w = Window.partitionBy(G)
     bins = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     inner = bins.filter(F.col("upto") - F.col("n") < F.col("all") * SUBSET)
