@@ -162,8 +162,8 @@ def judged(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_
     named = docs.select(*keep, group, F.col(text_col).alias("__text"))
     rows = written(vectors(statistics(named, "__text", [*keep, G])), "quality")
     points = rows.filter(~F.col("base_failed")).select(G, *X)
-    factor = written(_factor(_first_estimate(points)), "quality-0")
+    factor = written(_factor(_first_estimate(points)).repartition(1), "quality-0")  # a row a group in one file, so that its size shows
     for k in range(steps):
-        factor = written(_factor(_step(points, factor)), f"quality-{k + 1}")
+        factor = written(_factor(_step(points, factor)).repartition(1), f"quality-{k + 1}")
     out = _distance(rows, factor)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= cut)).drop(G, *X)
