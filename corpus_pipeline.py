@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseflow.llm import mixing, packing, registry, simhash, suffixes, toxicity
+from phaseflow.llm import mixing, nearcopies, packing, registry, suffixes, toxicity
 from phaseflow.llm.scratch import alone, dropped, written
 from phaseflow.session import reachable, table
 
@@ -25,9 +25,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates, and one of rows that are the same."""
-    near = simhash.near_duplicates(docs)
-    gone = near.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
+    """Keeps the document with the least id of each group of near copies (5-word shingles, similarity 0.8), and one of
+    rows that are the same."""
+    near = nearcopies.near_copies(docs)
+    gone = near.filter(~F.col("id").eqNullSafe(F.col("lead_id"))).select(F.col("id").alias("__gone"))
     gone = written(gone, "pipeline-gone")
     left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
     return left.dropDuplicates(["doc_id", "text"])
