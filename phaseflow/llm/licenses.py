@@ -1,12 +1,12 @@
 """License scans by canonical digest lookup.
 
-Texts are brought to a canonical form: ASCII letters in lower case, copyright lines left out, every run of other
+Texts are brought to a canonical form: ASCII letters in lower case, copyright statements left out, every run of other
 characters than letters and digits one blank, equivalent spellings one spelling. The digest of an entire text, and of
 each of its lines (a line may be a whole notice), is joined with the digests of known licences in the same form. The
 table of known digests is a list that the driver holds, so it is small enough to be broadcast whatever the corpus;
 nothing but hits leaves the scan, and no part of a text decides, only a whole text or line.
 
-Cases: a null or empty text has no licence; a text of copyright lines alone is empty; repeated rows of one id are one
+Cases: a null or empty text has no licence; a text of copyright statements alone is empty; repeated rows of one id are one
 document; a text longer than any known licence is compared like others; an empty table gives an empty result; extra
 columns stay out. Plain DataFrame operations.
 """
@@ -21,7 +21,18 @@ from pyspark.sql import functions as F
 
 from phaseflow.llm.scratch import written
 
+#: Lines that the SQL leaves out: all that begin with the word. Here only statements are left out (``STATEMENT``), so that
+#: it does not matter where the lines of a text end; the SQL differs where a sentence about copyright begins a line.
 COPYRIGHT = r"^[^a-z0-9©(]*(?:copyright\b|©|\(c\))"
+#: What follows the word, or an item (c), in sentences of licences.
+PROSE = (
+    "and", "as", "by the", "disclaimer", "for", "holders?", "if", "in", "interests?", "is", "it", "laws?", "licen[sc]es?", "licensed", "notices?", "on", "or",
+    "owners?", "owned", "owner's", "permission", "protection", "rights?", "statements?", "status", "that", "the software", "the program", "to", "treat(?:y|ies)", "under", "works?",
+)
+ITEM = (*PROSE, "accompany", "any", "each", "every", "no", "prohibiting", "such", "this", "you", "your")
+_SIGN = r"(?:[\s:]*(?:copyright\b|©|\(c\)))*[\s:]*(?:by\s+)?"
+#: A copyright statement: the word or a sign, then a year, a place for one, or a holder.
+STATEMENT = rf"^[^a-z0-9©(]*(?:©|(?:copyright\b|\(c\)\s*copyright\b){_SIGN}(?!(?:{'|'.join(PROSE)})\b)[\p{{L}}\p{{N}}<\[{{(]|\(c\){_SIGN}(?!(?:{'|'.join(ITEM)})\b)[\p{{L}}\p{{N}}<\[{{])"
 OTHER = r"[^\p{L}\p{N}]+"
 #: Spellings that count as equal, in canonical form.
 EQUAL = (
@@ -101,7 +112,7 @@ def known() -> list[tuple[str, str]]:
 
 
 def canonical_lines(text: Column) -> Column:
-    """Canonical form of each line that is no copyright line and not empty."""
+    """Canonical form of each line that is no copyright statement and not empty."""
     low = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "\n"), string.ascii_uppercase, string.ascii_lowercase)
 
     def form(line: Column) -> Column:
@@ -110,7 +121,7 @@ def canonical_lines(text: Column) -> Column:
             line = F.replace(line, F.lit(f" {a} "), F.lit(f" {b} "))
         return F.trim(line)
 
-    lines = F.filter(F.split(low, "\n"), lambda x: ~x.rlike(COPYRIGHT))
+    lines = F.filter(F.split(low, "\n"), lambda x: ~x.rlike(STATEMENT))
     return F.filter(F.transform(lines, form), lambda x: x != "")
 
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+import textwrap
+
 from phaseflow.llm import licenses
 
 
@@ -47,3 +50,25 @@ def test_no_two_licences_share_a_form(spark):
     df = spark.createDataFrame(texts, "license string, text string")
     form = licenses.F.array_join(licenses.canonical_lines(licenses.F.col("text")), " ")
     assert df.select("license", form.alias("f")).groupBy("f").agg(licenses.F.count_distinct("license").alias("n")).filter("n > 1").count() == 0
+
+
+def wrappings(text: str):
+    """The text as it is, on one line, and with its paragraphs in lines of several widths."""
+    yield text
+    yield " ".join(text.split())
+    for width in (0, 25, 40, 60, 70, 72, 76, 78, 80, 100, 120):
+        yield "\n\n".join("\n".join(textwrap.wrap(" ".join(p.split()), width, break_on_hyphens=False, break_long_words=False)) if width else " ".join(p.split()) for p in re.split(r"\n\s*\n", text.strip("\n")))
+
+
+def test_wrappings(spark):
+    rows = [(f"{k} {n}", w) for k, t in licenses.TEXTS.items() for n, w in enumerate(wrappings(t))]
+    out = licenses.scanned(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r.doc_id for r in out if r.text_license != r.doc_id.split()[0]] == [] and len(out) == len(rows)
+
+
+def test_statements(spark):
+    drop = ["Copyright 2020 A", "Copyright (c) 2020, A", "(c) 2020 A", "© A", " * Copyright: A B", "Copyright The Regents", "Copyright [yyyy] [name]", "(C) Copyright 2020 A", "Copyright (C) <year> A", "copyright by A", "Copyright © A"]
+    keep = ["COPYRIGHT HOLDERS BE LIABLE", "copyright notice and this", "copyright owner or", "(c) You must retain", "copyright", "copyright, patent", "copyright law.", "copyright the software"]
+    for lines, n in ((drop, 0), (keep, len(keep))):
+        df = spark.createDataFrame([("\n".join(lines),)], "text string")
+        assert len(df.select(licenses.canonical_lines(licenses.F.col("text"))).first()[0]) == n
