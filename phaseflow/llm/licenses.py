@@ -13,7 +13,10 @@ columns stay out. Plain DataFrame operations.
 
 from __future__ import annotations
 
+import pkgutil
+import re
 import string
+import textwrap
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +29,8 @@ from phaseflow.llm.scratch import written
 COPYRIGHT = r"^[^a-z0-9©(]*(?:copyright\b|©|\(c\))"
 #: What follows the word, or an item (c), in sentences of licences.
 PROSE = (
-    "and", "as", "by the", "disclaimer", "for", "holders?", "if", "in", "interests?", "is", "it", "laws?", "licen[sc]es?", "licensed", "notices?", "on", "or",
-    "owners?", "owned", "owner's", "permission", "protection", "rights?", "statements?", "status", "that", "the software", "the program", "to", "treat(?:y|ies)", "under", "works?",
+    "and", "are", "as", "by the", "disclaimer", "doctrines?", "for", "holders?", "if", "in", "including", "interests?", "is", "it", "laws?", "licen[sc]es?", "licensed", "notices?", "on", "or",
+    "owners?", "owned", "owner's", "ownership", "permission", "protection", "resulting from", "rights?", "statements?", "status", "that", "the software", "the program", "to", "treat(?:y|ies)", "under", "works?",
 )
 ITEM = (*PROSE, "accompany", "any", "each", "every", "no", "prohibiting", "such", "this", "you", "your")
 _SIGN = r"(?:[\s:]*(?:copyright\b|©|\(c\)))*[\s:]*(?:by\s+)?"
@@ -111,6 +114,68 @@ def known() -> list[tuple[str, str]]:
     return [*notices, *TEXTS.items(), *untitled, *titled]
 
 
+#: Licences whose whole texts stand in ``license_texts``.
+FILES = ("Apache-2.0", "MPL-2.0", "BSD-2-Clause", "Unlicense", "GPL-1.0", "GPL-2.0", "GPL-3.0", "CC-BY-SA-4.0")
+THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+
+"""
+#: Addresses that the licence's owner has had.
+ADDRESS = r"51 Franklin Street, Fifth Floor, Boston,? MA\s+02110-1301 USA"
+FORMER = ("59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA")
+#: From where to where the standard headers stand in the texts.
+HEADERS = {
+    "Apache-2.0": ("   Licensed under the Apache", None),
+    "MPL-2.0": ("  This Source Code Form is subject", "If it is not possible"),
+    "GPL-1.0": ("    This program is free software", "Also add information"),
+    "GPL-2.0": ("    This program is free software", "Also add information"),
+    "GPL-3.0": ("    This program is free software", "Also add information"),
+}
+END = "END OF TERMS AND CONDITIONS"
+
+
+def _from(text: str, begin: str, end: str | None) -> str:
+    at = text.index(begin)
+    return text[at : None if end is None else text.index(end, at)]
+
+
+def _wrapped(text: str) -> set[str]:
+    """One line for each way that the ends of lines let copyright statements stand at the beginning of one."""
+    statement = re.compile(STATEMENT.replace(r"\p{L}\p{N}", r"\w"))
+    kept = lambda lines: " ".join(x for x in lines if not statement.search(x.lower()))
+    parts = re.split(r"\n[^\S\n]*\n", text)
+    of_width: list[list[str]] = [[] for _ in range(103)]
+    for part in parts:
+        flat = " ".join(part.split())
+        some = re.search(r"copyright\s*(?:\(c\)|<|\[|\d)|\(c\)\s*(?:copyright|\d|<)", flat.lower())
+        for k, forms in enumerate(of_width):
+            if not some or k == 0:
+                forms.append(flat)
+            elif k == 1:
+                forms.append(kept(part.split("\n")))
+            else:
+                forms.append(kept(textwrap.wrap(flat, 18 + k, break_on_hyphens=False, break_long_words=False) if k > 2 else [flat]))
+    return {" ".join(forms) for forms in of_width}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text): the texts in ``license_texts`` and what is made of them, each without its appendix too, and the
+    standard headers."""
+    texts = {k: pkgutil.get_data(__package__, f"license_texts/{k}.txt").decode() for k in FILES}
+    some = [(k, t) for k, t in texts.items() if not k.startswith("BSD")]
+    bsd = texts["BSD-2-Clause"].partition("\n")[2].strip()
+    for name, text in (("BSD-2-Clause", bsd), ("BSD-3-Clause", bsd.replace("THIS SOFTWARE IS", f"{THIRD}THIS SOFTWARE IS", 1))):
+        for form in (text, text.replace("HOLDER OR", "OWNER OR"), re.sub(r"(?m)^\d\. ", "* ", text)):
+            some += [(name, f"{title}\n\n{form}") for title in ("", name.replace("-Clause", "-Clause License").replace("BSD-", "BSD "))]
+    some += [(k, t.partition(END)[0] + end) for k, t in texts.items() if END in t for end in ("", END)]
+    some += [(k, _from(texts[k], *ends)) for k, ends in HEADERS.items()]
+    by = texts["CC-BY-SA-4.0"]
+    body = by[by.index("Creative Commons Attribution-ShareAlike 4.0") :]
+    some += [("CC-BY-SA-4.0", body), ("CC-BY-SA-4.0", body[: body.rindex("Creative Commons is not a party")])]
+    some += [(k, re.sub(ADDRESS, a, t)) for k, t in some if re.search(ADDRESS, t) for a in FORMER]
+    return sorted({(k, form) for k, t in some for form in _wrapped(t)})
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical form of each line that is no copyright statement and not empty."""
     low = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "\n"), string.ascii_uppercase, string.ascii_lowercase)
@@ -138,7 +203,7 @@ def known_digests(docs: DataFrame, texts: Sequence[tuple[str, str]]) -> DataFram
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """A row an id: ``text_license`` (null if the entire text is none), ``n_notices`` lines and their ``notices``."""
-    rows = [(r["digest"], r["n_chars"], r["license"]) for r in known_digests(docs, texts or known()).collect()]  # of the driver's own list
+    rows = [(r["digest"], r["n_chars"], r["license"]) for r in known_digests(docs, texts or [*known(), *whole_texts()]).collect()]  # of the driver's own list
     table = docs.sparkSession.createDataFrame(rows, "digest string, n_chars int, license string")
     sizes = sorted({n for _, n, _ in rows})
     lines = docs.select(F.col(id_col).alias("__id"), canonical_lines(F.col(text_col)).alias("lines"))

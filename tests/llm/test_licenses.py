@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pkgutil
 import re
 import textwrap
 
@@ -72,3 +73,27 @@ def test_statements(spark):
     for lines, n in ((drop, 0), (keep, len(keep))):
         df = spark.createDataFrame([("\n".join(lines),)], "text string")
         assert len(df.select(licenses.canonical_lines(licenses.F.col("text"))).first()[0]) == n
+
+
+def test_whole_texts(spark):
+    get = lambda k: pkgutil.get_data("phaseflow.llm", f"license_texts/{k}.txt").decode()
+    texts = [(k, get(k)) for k in licenses.FILES]
+    bsd = get("BSD-2-Clause").replace("<year> <owner>", "2020, Somebody")
+    third = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+    texts += [("BSD-3-Clause", bsd.replace("THIS SOFTWARE IS", third + "THIS SOFTWARE IS", 1)), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + bsd)]
+    apache = get("Apache-2.0")
+    header = apache[apache.index("   Licensed under the Apache License") :]
+    texts += [("Apache-2.0", "Copyright 2020 Somebody\n\n" + header), ("Apache-2.0", apache[: apache.index("   APPENDIX")])]
+    rows = []
+    for i, (k, t) in enumerate(texts):
+        own = "Somebody" in t or t.startswith("Copyright")  # a line of its own; neither on one line with others nor cut
+        rows += [(f"{k} {i}.{n}", w) for n, w in enumerate(wrappings(t)) if not own or n not in (1, 3)]
+    assert {k for k, _ in texts} | set(licenses.TEXTS) >= set(licenses.NAMES)
+    out = licenses.scanned(spark.createDataFrame(rows, "doc_id string, text string").repartition(4)).collect()
+    assert sorted(r.doc_id for r in out if r.text_license != r.doc_id.split()[0]) == [] and len(out) == len(rows)
+
+
+def test_no_two_whole_texts_share_a_form(spark):
+    df = spark.createDataFrame([*licenses.known(), *licenses.whole_texts()], "license string, text string")
+    form = licenses.F.array_join(licenses.canonical_lines(licenses.F.col("text")), " ")
+    assert df.groupBy(form.alias("f")).agg(licenses.F.count_distinct("license").alias("n")).filter("n > 1").count() == 0
