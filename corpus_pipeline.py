@@ -25,12 +25,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies (5-word shingles, similarity 0.8), and one of
-    rows that are the same."""
+    """Keeps the row with the least id of each group of near copies (5-word shingles, similarity 0.8), and one of rows
+    that are the same. Rows are told by id and text, so that other rows with the id of a near copy stay."""
     near = nearcopies.near_copies(docs)
-    gone = near.filter(~F.col("id").eqNullSafe(F.col("lead_id"))).select(F.col("id").alias("__gone"))
-    gone = written(gone, "pipeline-gone")
-    left = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    first = F.col("id").eqNullSafe(F.col("lead_id")) & (F.col("h") == F.col("lead_h"))
+    gone = written(near.filter(~first).select(F.col("id").alias("__gone"), F.col("h").alias("__h")), "pipeline-gone")
+    match = docs["doc_id"].eqNullSafe(gone["__gone"]) & (nearcopies.text_hash(docs["text"]) == gone["__h"])
+    left = docs.join(gone.hint("shuffle_hash"), match, "left_anti")
     return left.dropDuplicates(["doc_id", "text"])
 
 

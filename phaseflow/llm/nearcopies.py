@@ -123,7 +123,7 @@ def links(classes: DataFrame, docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def text_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return F.xxhash64(text)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

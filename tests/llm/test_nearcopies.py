@@ -57,3 +57,13 @@ def test_odd_rows(docs, texts, no_docs):
     want = brute([by_id[i] for i in ids])
     assert {r.id: r.lead_id for r in nearcopies.near_copies(docs).collect()} == {i: ids[k] for i, k in zip(ids, want, strict=True)}
     assert nearcopies.near_copies(no_docs).count() == 0
+
+
+def test_only_the_row_that_is_a_near_copy_goes(spark):
+    rng = random.Random(9)
+    a, b, c, d = (sentence(rng, 80) for _ in range(4))
+    rows = [(1, a), (None, a + " more"), (None, b), (None, b), (7, c), (3, c + " more"), (7, d), (9, None), (9, "")]
+    kept = corpus_pipeline.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    got = [(r.doc_id, r.text) for r in kept]
+    assert {x for x in got if x[1]} == {(1, a), (None, b), (3, c + " more"), (7, d)}
+    assert [x[0] for x in got if not x[1]] == [9] and len(got) == 5
