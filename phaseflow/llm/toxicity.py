@@ -7,7 +7,8 @@ offending ones can be shown. Weights are sparse: what does not help to tell labe
 weight scores 0, so a long clean text does not gather a score from its many sentences.
 
 The model is fitted on the driver to a sample of at most ``SAMPLE`` labelled texts of at most ``SAMPLE_CHARS``
-characters together, the first by a hash of their id; scoring covers every text whole and needs words only.
+characters together, the first by a hash of their id but with up to ``OF_EACH`` of each label; a text that does not fit
+is left out and others go on, and texts of more than ``LONG`` characters come last. Scoring covers every text whole and needs words only.
 
 Cases: a null or empty text scores 0; texts without a label are scored like others; without labelled toxic texts all
 scores are 0; of several labels of one text the greatest counts; repeated rows are scored alike; extra columns stay.
@@ -22,7 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,8 @@ from phaseflow.llm import worker
 from phaseflow.llm.scratch import written
 
 SAMPLE, SAMPLE_CHARS = 8_000, 40_000_000
+#: Rows of each label that the sample has first, if there are as many; texts of more characters come last of all.
+OF_EACH, LONG = 1_000, 50_000
 #: A feature is a word or one of its beginnings of these lengths; it takes part if at least LEAST_TEXTS toxic sample
 #: texts have it and toxic texts have it LIFT times as often as others.
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -140,16 +143,27 @@ def fit(texts: Sequence[str], labels: Sequence[int]) -> Model:
 
 
 def _first(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column) -> tuple[list[str], list[int]]:
-    """Texts and labels of the sample: at most ``SAMPLE`` rows and ``SAMPLE_CHARS`` characters, by a hash of the id."""
+    """Texts and labels of the sample, by a hash of the id: at most ``SAMPLE`` rows, the first ``OF_EACH`` of each label
+    among them, and of these all that fit in ``SAMPLE_CHARS`` characters."""
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
-    marked = marked.filter(learn).withColumn("__h", F.xxhash64(id_col)).orderBy("__h", id_col).limit(SAMPLE)
+    marked = written(marked.filter(learn).withColumn("__h", F.xxhash64(id_col)), "toxicity-marked")
+    order, any_label = ["__h", id_col], marked.withColumn("__late", F.lit(1))
+    drawn = any_label.orderBy(*order).limit(SAMPLE)
+    for toxic in (F.col("__y") == 1, F.col("__y") != 1):
+        drawn = drawn.union(marked.filter(toxic).withColumn("__late", F.lit(0)).orderBy(*order).limit(min(OF_EACH, SAMPLE // 2)))
+    marked = drawn.groupBy(id_col, "__y", "__h").agg(F.min("__late").alias("__late")).orderBy("__late", *order).limit(SAMPLE)
     marked = written(marked, "toxicity-sample")
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(marked), id_col)  # at most SAMPLE rows
-    texts = texts.groupBy(id_col, "__h", "__y").agg(F.min("__text").alias("__text"))
+    texts = texts.groupBy(id_col, "__h", "__y", "__late").agg(F.min("__text").alias("__text"))
     texts = written(texts.withColumn("__n", F.length("__text")), "toxicity-texts")
-    upto = F.sum("__n").over(Window.orderBy("__h", id_col).rowsBetween(Window.unboundedPreceding, 0))
-    taken = texts.select(id_col, "__h", "__n").withColumn("__upto", upto).filter(F.col("__upto") <= SAMPLE_CHARS).select(id_col)
-    rows = texts.join(F.broadcast(taken), id_col).orderBy("__h", id_col).select("__text", "__y").toLocalIterator()
+    sizes = texts.select(id_col, "__n", (F.col("__n") > LONG).alias("__long")).orderBy("__long", texts["__late"], *order).collect()  # at most SAMPLE rows
+    taken, left = [], SAMPLE_CHARS
+    for r in sizes:
+        if r["__n"] <= left:
+            taken.append((r[id_col],))
+            left -= r["__n"]
+    taken = docs.sparkSession.createDataFrame(taken, docs.select(id_col).schema)
+    rows = texts.join(F.broadcast(taken), id_col).orderBy(*order).select("__text", "__y").toLocalIterator()
     pairs = [(r[0], r[1]) for r in rows]
     return [t for t, _ in pairs], [y for _, y in pairs]
 

@@ -49,3 +49,17 @@ def test_odd_rows(spark, docs, texts, no_docs):
     got = toxicity.score(docs.drop("score"), model, ["doc_id", "lang"]).collect()
     assert len(got) == len(texts) and all(r.score == 0 for r in got)
     assert toxicity.score(no_docs.drop("score"), toxicity.train(no_docs, none), ["doc_id"]).count() == 0
+
+
+def test_sample_has_rare_labels_and_goes_on_after_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 60)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 60_000)
+    rows = [(i, ("vile scum. " if i % 100 == 0 else "green river. ") * 3, int(i % 100 == 0)) for i in range(1000)]
+    first = spark.range(1000).orderBy(toxicity.F.xxhash64("id")).first().id
+    rows[first] = (first, "river " * 20_000, rows[first][2])
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    texts, y = toxicity._first(docs, labels, "doc_id", "text", "toxic", toxicity.F.lit(True))
+    assert len(texts) == 59 and sum(y) == 10 - rows[first][2]
+    model = toxicity.train(docs, labels)
+    assert model.judge("vile scum.")[0] > 0.5 > model.judge("green river.")[0]
