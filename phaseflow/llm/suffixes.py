@@ -5,12 +5,15 @@ are UTF-8 bytes; strings never cross documents and are judged on the input.
 
 A suffix for every byte would be dozens of times the input, so the array is sparse, without losing a match: among the
 ``GRAM``-byte strings of each window the one with the least hash is its anchor (the first of equals), which depends on
-the window alone, so equal windows have equal anchors at equal places. One anchor serves the run of windows around it,
-about one in sixteen bytes is one, and only suffixes that start at anchors are kept, each with the bytes before it that
-its windows reach.
-
-1. Filter: anchors whose gram occurs in one document only are dropped. Their hashes go out in packed blocks, dealt by
-   hash; a block has each hash once, so a passage that a third of all documents share is not sent again and again.
+the window alone, so equal windows have equal anchors at equal places. One anchor serves the run of windows around it;
+in prose about one in sixteen bytes is one, and only suffixes that start at anchors are kept, each with the bytes before
+it that its windows reach. Text that repeats itself has more anchors (a run of one character has one a byte), but their
+suffixes are equal, and a document has each of its suffixes once a segment, with the list of its places.
+
+0. Rows of one text are one: its least id stands for all, and of the others everything goes if there is a window at all.
+   So a text costs the same however many copies it has.
+1. Filter: anchors whose gram occurs in one text only are dropped. Their hashes go out in packed blocks, dealt by hash; a
+   block has each hash once, so a passage that a third of all documents share is not sent again and again.
 2. Equal suffixes (with the bytes before them) become one with the least id, summed up map-side.
 3. Sampled splitters range-partition the suffixes by their leading bytes and then by the bytes before them, so even
    equal suffixes with different bytes before them are split. Each partition sorts by multikey quicksort, finds the
@@ -18,9 +21,17 @@ its windows reach.
    first or last suffix shares to a comparison across boundaries: hashes of these go out in packed blocks.
 4. Windows with a smaller id elsewhere become intervals, collected per document and cut out of its text.
 
-Cases: a null or empty text is empty; a text shorter than a window keeps everything; documents with one id count as
-one and do not remove from each other; rows with a null id are compared with nothing; an empty table gives an empty
-result; long texts go through in segments; characters that a cut parts are left out of the text that is put out; extra columns stay out.
+Inside a partition bytes are compared. Elsewhere hashes stand for them: 128 bits for equal texts, for windows at boundaries
+and for suffixes that are joined with their documents; 64 bits for the grams of the filter, where a collision costs
+nothing, and for the texts that it tells apart, where one would hide passages that those two texts alone share.
+
+Memory: texts go through in segments of ``SEGMENT`` bytes; partitions are as many as ``PART_BYTES`` of text and
+``PART_SUFFIXES`` suffixes ask for, and more if the session says so.
+
+Cases: a null or empty text is empty; a text shorter than a window keeps everything; rows with one id count as one
+document and do not remove from each other, each keeps its own text; rows with a null id are compared with nothing; an
+empty table gives an empty result; characters that a cut parts are left out of the text that is put out; extra columns
+stay out.
 """
 
 from __future__ import annotations
@@ -41,7 +52,9 @@ from phaseflow.llm.scratch import dropped, written
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1
 #: Bytes that are hashed together, and anchors whose hashes are packed together.
-SEGMENT, BLOCK = 1 << 20, 1 << 20
+SEGMENT, BLOCK = 1 << 20, 1 << 19
+#: Bytes of text, and suffixes, that a task is to hold at most on average.
+PART_BYTES, PART_SUFFIXES = 1 << 26, 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Runs that a partition step leaves to a library sort.
 SMALL = 64
@@ -92,32 +105,32 @@ def _anchors_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return doc, at[first], first, last, gram[at[first]]
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, anchor, first window, last window, hash), in order; places are in bytes of ``data``.
-
-    ``bounds`` are the documents' starts and the last one's end.
-    """
+def segments(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, anchor, first window, last window, hash), in order, about a segment of bytes at a time; places are in
+    bytes of ``data``. ``bounds`` are the documents' starts and the last one's end."""
     starts, ends = bounds[:-1], bounds[1:]
     keep = np.flatnonzero(ends - starts >= WINDOW)
-    parts, at = [], 0
+    at = 0
     while at < len(keep):
         a = keep[at]
         if ends[a] - starts[a] > SEGMENT:
             for begin in range(int(starts[a]), int(ends[a]) - WINDOW + 1, SEGMENT):
                 end = min(begin + SEGMENT + WINDOW - 1, int(ends[a]))
                 doc, *places, h = _anchors_of(data[begin:end], np.array([0]), np.array([end - begin]))
-                parts.append((doc + a, *(p + begin for p in places), h))
+                yield doc + a, *(p + begin for p in places), h
             at += 1
             continue
         stop = at + max(1, int(np.searchsorted(ends[keep[at:]], starts[a] + SEGMENT, "right")))
         some, begin = keep[at:stop], int(starts[a])
         doc, *places, h = _anchors_of(data[begin : int(ends[some[-1]])], starts[some] - begin, ends[some] - begin)
-        parts.append((some[doc], *(p + begin for p in places), h))
+        yield some[doc], *(p + begin for p in places), h
         at = stop
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64)
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All of :func:`segments` at once."""
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip((none, none, none, none, none.astype(np.uint64)), *segments(data, bounds), strict=True))
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +152,7 @@ HASHES = "bucket int, known boolean, docs binary, counts binary, hashes binary"
 
 
 def _hashes(buckets: int):
-    """Rows (id, text) to packed hashes: of each hash in a block once, and all of those that it has in two documents."""
+    """Rows (h, text) to packed hashes: of each hash in a block once, and all of those that it has in two documents."""
 
     def block(ids: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((ids, h))
@@ -166,13 +179,14 @@ def _hashes(buckets: int):
         ids, hs, n = [], [], 0
         for batch in batches:
             data, bounds = _bytes(batch.column(1))
-            doc, _, _, _, h = anchors(data, bounds)
-            ids.append(batch.column(0).to_numpy(zero_copy_only=False)[doc])
-            hs.append(h)
-            n += len(h)
-            if n >= BLOCK:
-                yield from block(np.concatenate(ids), np.concatenate(hs))
-                ids, hs, n = [], [], 0
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            for doc, _, _, _, h in segments(data, bounds):
+                ids.append(own[doc])
+                hs.append(h)
+                n += len(h)
+                if n >= BLOCK:
+                    yield from block(np.concatenate(ids), np.concatenate(hs))
+                    ids, hs, n = [], [], 0
         if n:
             yield from block(np.concatenate(ids), np.concatenate(hs))
 
@@ -227,7 +241,7 @@ def _unpacked(batch: pa.RecordBatch, names: tuple[str, ...] = ("docs", "counts",
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows of whole buckets to (id, hashes), a row a document."""
+    """Packed rows of whole buckets to (h, hashes), a row a text, hashes in order."""
     parts = [x for batch in batches for x in _unpacked(batch)]
     if not parts:
         return
@@ -238,31 +252,61 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = np.concatenate(([0], np.cumsum(counts)))
     for at in range(0, len(ids), 1 << 12):
         part = slice(at, at + (1 << 12))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), _list(h[ends[at] : ends[min(len(ids), at + (1 << 12))]], counts[part])], ["id", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), _list(h[ends[at] : ends[min(len(ids), at + (1 << 12))]], counts[part])], ["h", "hashes"])
+
+
+def _once(data: np.ndarray, doc: np.ndarray, back: np.ndarray, first: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each context of a segment the first one of its document that is the same; only contexts with equal anchors can
+    be, so others are not looked at."""
+    same = np.arange(len(doc))
+    order = np.lexsort((same, size, back, h, doc))
+    alike = np.zeros(len(doc), bool)
+    alike[1:] = (np.diff(doc[order]) == 0) & (h[order][1:] == h[order][:-1]) & (np.diff(back[order]) == 0) & (np.diff(size[order]) == 0)
+    run = np.cumsum(~alike)
+    lead = order[np.searchsorted(run, run, "left")]
+    rest = order[lead != order]
+    lead = lead[lead != order]
+    for lo in range(0, len(rest), 1 << 14):
+        a, b, n = rest[lo : lo + (1 << 14)], lead[lo : lo + (1 << 14)], size[rest[lo : lo + (1 << 14)]]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        equal = np.logical_and.reduceat(data[np.repeat(first[a], n) + at] == data[np.repeat(first[b], n) + at], np.cumsum(n) - n)
+        same[a[equal]] = b[equal]
+    return same
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, shared hashes) to suffixes: (id, first, back, context).
+    """Rows (id, text, shared hashes, h) to suffixes: (id, h, places, back, context).
 
-    ``context`` is the text that the anchor's windows cover, from byte ``first`` of the text; the suffix starts ``back``
-    bytes into it.
+    ``context`` is the text that the anchor's windows cover, from each of the bytes ``places`` of the text; the suffix
+    starts ``back`` bytes into it.
     """
     for batch in batches:
         data, bounds = _bytes(batch.column(1))
-        doc, at, first, last, h = anchors(data, bounds)
-        cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-        keep = np.zeros(len(doc), bool)
-        for k, shared in enumerate(batch.column(2).to_pylist()):
-            lo, hi = int(cut[k]), int(cut[k + 1])
-            keep[lo:hi] = np.isin(h[lo:hi], np.frombuffer(shared, np.uint64))
-        doc, at, first, last = doc[keep], at[keep], first[keep], last[keep]
-        for lo in range(0, len(doc), 1 << 16):
-            d, a, f, e = (x[lo : lo + (1 << 16)] for x in (doc, at, first, last))
-            size = e - f + WINDOW
-            end = np.cumsum(size)
-            raw = data[np.repeat(f - end + size, size) + np.arange(end[-1] if len(end) else 0)]
-            ids = batch.column(0).take(pa.array(d))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(f - bounds[d]), pa.array((a - f).astype(np.int32)), _list(raw, size)], ["id", "first", "back", "context"])
+        lists = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
+        for doc, at, first, last, h in segments(data, bounds):
+            keep = np.zeros(len(doc), bool)
+            for k in np.unique(doc).tolist():
+                lo, hi = np.searchsorted(doc, (k, k + 1)).tolist()
+                place = np.minimum(np.searchsorted(lists[k], h[lo:hi]), len(lists[k]) - 1)
+                keep[lo:hi] = lists[k][place] == h[lo:hi]
+            doc, at, first, last, h = (x[keep] for x in (doc, at, first, last, h))
+            if not len(doc):
+                continue
+            back, size = at - first, last - first + WINDOW
+            same = _once(data, doc, back, first, size, h)
+            order = np.argsort(same, kind="stable")
+            lead, count = np.unique(same, return_counts=True)
+            ends = np.concatenate(([0], np.cumsum(count)))
+            places = (first - bounds[doc])[order]
+            for lo in range(0, len(lead), 1 << 15):
+                hi = min(len(lead), lo + (1 << 15))
+                some = lead[lo:hi]
+                n = size[some]
+                end = np.cumsum(n)
+                raw = data[np.repeat(first[some] - end + n, n) + np.arange(end[-1])]
+                own = pa.array(doc[some])
+                lists_of = pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pa.array(places[ends[lo] : ends[hi]]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(3).take(own), lists_of, pa.array(back[some].astype(np.int32)), _list(raw, n)], ["id", "h", "places", "back", "context"])
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -418,19 +462,32 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, first, ids) to (id, start, end): stretches covered by windows that a smaller id has too."""
+    """Rows (id, h, places, ids) to (id, h, start, end): stretches covered by windows that a smaller id has too."""
     for batch in batches:
-        ids, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        lists = batch.column(2)
+        own = batch.column(0).to_numpy(zero_copy_only=False)
+        lists = batch.column(3)
         count = lists.value_lengths().to_numpy()
         row = np.repeat(np.arange(batch.num_rows), count)
         place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        hit = lists.flatten().to_numpy() < ids[row]
-        row, start = row[hit], first[row[hit]] + place[hit]
+        hit = lists.flatten().to_numpy() < own[row]
+        row, start = row[hit], place[hit]
         new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))) if len(row) else np.zeros(0, bool)
         lo = np.flatnonzero(new)
         hi = np.concatenate((lo[1:], [len(row)]))[: len(lo)] - 1
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row[lo]]), pa.array(start[lo]), pa.array(start[hi] + WINDOW)], ["id", "start", "end"])
+        row, start, end = row[lo], start[lo], start[hi] + WINDOW
+        places = batch.column(2)
+        begin = np.concatenate(([0], np.cumsum(places.value_lengths().to_numpy())))
+        at = places.flatten().to_numpy()
+        for some in range(0, len(row), 1 << 12):  # each stretch at each place of its row, places in order
+            r, a, b = (x[some : some + (1 << 12)] for x in (row, start, end))
+            n = np.diff(begin)[r]
+            of = np.repeat(np.arange(len(r)), n)
+            place = at[np.repeat(begin[r] - np.cumsum(n) + n, n) + np.arange(len(of))]
+            a, b = place + a[of], place + b[of]
+            lead = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (a[1:] > b[:-1]))))
+            last = np.concatenate((lead[1:], [len(of)])) - 1
+            rows = r[of[lead]]
+            yield pa.RecordBatch.from_arrays([pa.array(own[rows]), batch.column(1).take(pa.array(rows)), pa.array(a[lead]), pa.array(b[last])], ["id", "h", "start", "end"])
 
 
 def _key(context: str = "context") -> dict[str, Column]:
@@ -439,23 +496,37 @@ def _key(context: str = "context") -> dict[str, Column]:
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): the intervals (start, end) in bytes to remove from each document that has some, unmerged."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(id, h, spans): the intervals (start, end) in bytes to remove from each document that has some, unmerged.
+
+    ``h`` tells texts of one id apart: their :func:`text_hash`.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), text.alias("text"))
+    rows = rows.filter(F.octet_length("text") >= WINDOW)
+    sizes = rows.select("id", "h", F.xxhash64(F.lit("text"), "text").alias("h2"), F.octet_length("text").cast("long").alias("n"))
+    sizes = written(sizes, "suffix-sizes")
+    texts = written(sizes.groupBy("h", "h2").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")), "suffix-texts")
+    several = texts.filter("last > lead").select("h", "h2", "lead")
+    copies = sizes.join(several, ["h", "h2"]).filter("id > lead").select("id", "h", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    copies = written(copies.distinct(), "suffix-copies")
+    session = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = texts.agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0
+    parts = max(session, -(-total // PART_BYTES))
     buckets = 4 * parts
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hashes = rows.mapInArrow(_hashes(buckets), HASHES).repartition(parts, "bucket")
+    hashes = rows.select("h", "text").mapInArrow(_hashes(buckets), HASHES).repartition(parts, "bucket")
     shared = written(hashes.mapInArrow(_shared(buckets), "bucket int, docs binary, counts binary, hashes binary"), "suffix-shared")
-    lists = written(shared.repartition(parts, "bucket").mapInArrow(_by_document, "id long, hashes binary"), "suffix-lists")
+    lists = shared.repartition(parts, "bucket").mapInArrow(_by_document, "h long, hashes binary")
+    lists = written(lists.join(texts.select("h", F.col("lead").alias("id")), "h"), "suffix-lists")
     dropped(shared)
-    found = rows.join(lists.hint("shuffle_hash"), "id").select("id", "text", "hashes")
-    contexts = found.mapInArrow(_contexts, "id long, first long, back int, context binary")
-    contexts = written(contexts.withColumns(_key()), "suffix-contexts")
+    found = rows.join(lists.hint("shuffle_hash"), ["id", "h"]).select("id", "text", "hashes", "h")
+    contexts = found.mapInArrow(_contexts, "id long, h long, places array<long>, back int, context binary")
+    contexts = written(contexts.withColumns(_key()), "suffix-contexts", 64)
     dropped(lists)
     suffixes = contexts.groupBy("context", "back").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     leading = F.substring("context", F.col("back") + 1, F.lit(WINDOW + SPAN))
     before = F.reverse(F.hex(F.substring("context", F.lit(1), F.col("back"))))
-    ranged = suffixes.repartitionByRange(leading, before)
-    judged = written(ranged.mapInArrow(_sorted(buckets), JUDGED).withColumns(_key()).drop("context"), "suffix-windows", 1 << 16)
+    ranged = suffixes.repartitionByRange(max(session, -(-contexts.count() // PART_SUFFIXES)), leading, before)
+    judged = written(ranged.mapInArrow(_sorted(buckets), JUDGED).withColumns(_key()).drop("context"), "suffix-windows", 1 << 14)
     edges = judged.filter(F.col("bucket").isNotNull()).select("part", "bucket", "edges")
     better = edges.repartition(parts, "bucket").mapInArrow(_across, "part int, row int, w int, least long")
     patch = better.groupBy("part", "row").agg(F.map_from_entries(F.collect_list(F.struct("w", "least"))).alias("patch"))
@@ -463,11 +534,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = judged.filter(F.col("bucket").isNull()).join(written(patch, "suffix-patch"), ["part", "row"], "left")
     own = own.select("k1", "k2", "back", "most", F.when(F.col("patch").isNull(), F.col("ids")).otherwise(ids).alias("ids"))
     own = written(own.filter(F.exists("ids", lambda x: x < F.col("most"))).drop("most"), "suffix-ids")
-    with_ids = contexts.select("k1", "k2", "back", "id", "first").join(own, ["k1", "k2", "back"]).select("id", "first", "ids")
-    spans = written(with_ids.mapInArrow(_intervals, "id long, start long, end long"), "suffix-spans", 1 << 14)
+    with_ids = contexts.select("k1", "k2", "back", "id", "h", "places").join(own, ["k1", "k2", "back"]).select("id", "h", "places", "ids")
+    spans = written(with_ids.mapInArrow(_intervals, "id long, h long, start long, end long"), "suffix-spans", 1 << 13)
     for df in (contexts, judged, own):
         dropped(df)
-    return spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.union(copies).groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
@@ -517,8 +592,8 @@ def deduplicated(docs: DataFrame, keep: list[str] | None = None, id_col: str = "
     """
     results = [T.StructField(prefix + f.name, f.dataType) for f in RESULTS.fields[: 5 if text_too else 4]]
     keep = [c for c in (keep or [id_col]) if c not in {f.name for f in results}]
-    spans = removals(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    rows = docs.select(*keep, F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__id"))
-    joined = rows.join(spans.hint("shuffle_hash"), "__id", "left").select(*keep, "__text", "__spans")
+    spans = removals(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    rows = docs.select(*keep, F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__id"), text_hash(text_col).alias("__h"))
+    joined = rows.join(spans.hint("shuffle_hash"), ["__id", "__h"], "left").select(*keep, "__text", "__spans")
     schema = T.StructType([*joined.schema.fields[:-2], *results])
     return written(joined.mapInArrow(_cut_out(len(keep), schema.names, text_too), schema), "suffix-kept")

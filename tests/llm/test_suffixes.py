@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from phaseflow.llm import suffixes
@@ -54,6 +55,39 @@ def test_many_partitions_and_text(spark, texts):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_text_that_repeats_itself(spark):
+    """Few suffixes, whatever the period; places are found in all of it."""
+    size = 1 << 20
+    for unit in ("-", "ab", "- ", "abcdefghij" * 3):
+        raw = np.frombuffer((unit * size).encode()[:size], np.uint8)
+        h = suffixes.anchors(raw, np.array([0, size]))[4]
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([raw.tobytes().decode()]), pa.array([np.unique(h).tobytes()]), pa.array([7])], ["id", "text", "hashes", "h"])
+        out = list(suffixes._contexts(iter([batch])))
+        assert sum(b.column("context").nbytes for b in out) < size // 10
+        assert sum(len(p) for b in out for p in b.column("places")) == len(h)
+    rows = [(1, "x" + "ab" * 3000), (2, "ab" * 2000 + "-" * 700 + "tail of the text"), (3, "-" * 300 + " some " + "-" * 60 + "ab" * 40), (4, "-" * 49), (5, ("line one of two\n" * 30 + "end") * 3), (6, "line one of two\n" * 9)]
+    assert got(suffixes.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_copies_and_texts_of_one_id(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(str(rng.random()) for _ in range(30)) for _ in range(3))
+    rows = [(5, a), (3, a), (9, a), (9, a), (7, a + b), (7, b), (8, b), (2, c), (2, c + a), (4, "short"), (6, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.deduplicated(df).collect()]
+    n = len(a)
+    # the two texts of 2 hold c and a first; both texts of 7 keep b, as only each other has it
+    want = [(5, n, n), (3, n, n), (9, n, n), (9, n, n), (7, n + len(b), n), (7, len(b), 0), (8, len(b), len(b)), (2, len(c), 0), (2, len(c) + n, 0), (4, 5, 0), (6, 5, 0)]
+    assert sorted(out) == sorted(want)
+
+
+def test_parts_follow_the_bytes(spark, texts, monkeypatch):
+    monkeypatch.setattr(suffixes, "PART_BYTES", 1 << 10)
+    monkeypatch.setattr(suffixes, "PART_SUFFIXES", 64)
+    docs = spark.createDataFrame([r[:2] for r in texts], "doc_id long, text string")
+    assert got(suffixes.deduplicated(docs)) == brute([r[:2] for r in texts])
+
+
 def test_empty(no_docs):
     assert suffixes.deduplicated(no_docs).count() == 0
 
