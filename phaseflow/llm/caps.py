@@ -7,7 +7,7 @@ once and all exceeding directions are list-decoded from their sums. Vectors of o
 candidates, and candidates are verified in double precision.
 
 The threshold is that which an expected ``EXPECTED`` directions of a code exceed; it comes from random unit vectors,
-not from the data. With 12 codes of 4, two vectors at the least similarity linked have a common filter in 99.9 % of
+not from the data, and takes no more memory than the codebooks. With 12 codes of 4, two vectors at the least similarity linked have a common filter in 99.9 % of
 cases and closer ones more often. Codebooks grow with the largest label, so that buckets stay small.
 
 Equal vectors are one class and are counted by their number, never paired. Buckets first hold 128 signs of random
@@ -16,13 +16,14 @@ are sent only to buckets where they have one. A pair is counted in the least of
 there, so no list of pairs is made: a bucket reports a count for each vector and at most one edge. Buckets above
 ``SHARD`` rows are dealt to cells.
 
-Cases: a null vector or label, a vector of zeros, without elements, or with null or non-finite elements links with
-nothing and is its own component; vectors of different dimensions do not link; repeated rows are copies; an empty table
+Cases: a null id, vector or label, a vector of zeros, without elements, or with null or non-finite elements links with
+nothing and is its own component; of different vectors with one id each row has the links of all; vectors of different dimensions do not link; repeated rows are copies; an empty table
 gives an empty result; extra columns stay out.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseflow.llm.buckets import dealt
+from phaseflow.llm.buckets import dealt, gathered, whole_cells
 from phaseflow.llm.components import components
 from phaseflow.llm.scratch import written
 from phaseflow.llm.simhash import spanning
@@ -42,6 +43,10 @@ CODES, EXPECTED = 12, 4
 SIGNATURE, SIGNS = 128, 38
 SHARD = 1024
 SEED = 7
+#: Rows with vectors that a task takes at a time, if whole cells allow it.
+VECTORS = 1 << 13
+#: Words times random vectors from which the threshold comes.
+PROBED = 1 << 16
 #: Distance between neighbours in a sorted bucket up to which whole columns are compared at once.
 SHIFTS = 32
 
@@ -62,10 +67,7 @@ class Code:
                 book.append((h, c / np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt(len(h) / dims)))
             self.books.append(book)
         self.per_code = words ** len(halves)
-        probe = rng.standard_normal((512, dims))
-        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        scores = np.concatenate([self._scores(probe, k).ravel() for k in range(CODES)])
-        self.threshold = float(np.quantile(scores, 1 - min(1.0, EXPECTED / self.per_code)))
+        self.threshold = self._threshold(rng)
         self.planes = rng.standard_normal((dims, SIGNATURE))
 
     @staticmethod
@@ -73,12 +75,27 @@ class Code:
     def of(dims: int, words: int) -> Code:
         return Code(dims, words)
 
-    def _scores(self, x: np.ndarray, code: int) -> np.ndarray:
-        y, total = x @ self.turns[code], None
-        for h, book in self.books[code]:
-            part = y[:, h] @ book.T
-            total = part if total is None else (total[:, :, None] + part[:, None, :]).reshape(len(x), -1)
-        return total
+    def _threshold(self, rng: np.random.Generator) -> float:
+        """What ``EXPECTED`` directions of a code exceed on average over random unit vectors.
+
+        Sums of two halves' products are counted above a limit from the sorted products, and the limit is found by
+        halving, so the product of the two codebooks is never made.
+        """
+        probes = max(8, min(64, PROBED // self.words))
+        x = rng.standard_normal((CODES * probes, self.dims))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        parts = []
+        for k in range(CODES):
+            y = x[k * probes : (k + 1) * probes] @ self.turns[k]
+            parts += zip(*([np.sort(row) for row in y[:, h] @ book.T] for h, book in self.books[k]), strict=True)
+        wanted, low, high = EXPECTED * len(parts), -2.0, 2.0
+        while high - low > 1e-9:
+            limit = (low + high) / 2
+            if sum(_exceeding(p, limit) for p in parts) > wanted:
+                low = limit
+            else:
+                high = limit
+        return low if self.per_code > EXPECTED else -2.0
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of every direction that a unit vector exceeds."""
@@ -109,6 +126,14 @@ class Code:
         return bits[:, 0], bits[:, 1]
 
 
+def _exceeding(parts: tuple[np.ndarray, ...], limit: float) -> int:
+    """Number of sums of one value of each (sorted) part that reach ``limit``."""
+    if len(parts) == 1:
+        return len(parts[0]) - int(np.searchsorted(parts[0], limit))
+    a, b = parts
+    return len(a) * len(b) - int(np.searchsorted(b, limit - a[::-1]).sum())
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
 
@@ -135,31 +160,31 @@ def _decoded(words: int):
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held).combine_chunks() if held else None
+CELL = ["label", "dims", "filter", "i", "j"]
 
 
-def _cells(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts equal keys together, and the bounds of the runs."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(max(0, len(order) - 1), bool)
-    for k in keys:
-        new |= k[order][1:] != k[order][:-1]
-    return order, np.concatenate(([0], np.flatnonzero(new) + 1, [len(order)]))
+def _bounds(t: pa.Table) -> np.ndarray:
+    """Bounds of the runs of equal cells."""
+    new = np.zeros(max(0, t.num_rows - 1), bool)
+    for k in CELL:
+        value = t.column(k).to_numpy()
+        new |= value[1:] != value[:-1]
+    return np.concatenate(([0], np.flatnonzero(new) + 1, [t.num_rows]))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, filter) of rows that have another at few differing signs in their cell."""
-    t = _gathered(batches)
-    if t is None:
-        return
-    col = {n: t.column(n).to_numpy() for n in t.column_names}
-    order, bounds = _cells([col[k] for k in ("label", "dims", "filter", "i", "j")])
-    s1, s2, shard, i, j = (col[k][order] for k in ("s1", "s2", "shard", "i", "j"))
+    for t in whole_cells(batches, CELL):
+        near = _near(t, _bounds(t))
+        yield pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[near]) for c in ("id", "filter")], ["id", "filter"])
+
+
+def _near(t: pa.Table, bounds: np.ndarray) -> np.ndarray:
+    """Whether each row has another at few differing signs in its cell."""
+    s1, s2, shard, i, j = (t.column(k).to_numpy() for k in ("s1", "s2", "shard", "i", "j"))
     s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # bits of signed numbers are counted in their absolute value
     size = np.diff(bounds)
-    end, near = np.repeat(bounds[1:], size), np.zeros(len(order), bool)
+    end, near = np.repeat(bounds[1:], size), np.zeros(t.num_rows, bool)
     small = np.repeat(size <= SHIFTS, size)
     at = np.flatnonzero(small)
     for shift in range(1, SHIFTS):
@@ -177,56 +202,49 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             close &= x[:, None] != b
             near[x] |= close.any(1)
             near[b] |= close.any(0)
-    out = order[near]
-    yield pa.RecordBatch.from_arrays([pa.array(col["id"][out]), pa.array(col["filter"][out])], ["id", "filter"])
+    return near
 
 
 def _verified(cosine: float):
     """Rows (label, dims, filter, id, copies, filters, v, shard, i, j) of whole cells to (id, links, root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _gathered(batches)
-        if t is None:
-            return
-        col = {n: t.column(n).to_numpy() for n in ("label", "dims", "filter", "id", "copies", "shard", "i", "j")}
-        order, bounds = _cells([col[k] for k in ("label", "dims", "filter", "i", "j")])
-        vectors, lists = t.column("v").combine_chunks(), t.column("filters").combine_chunks()
-        ids, links, roots = [], [], []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            of = order[lo:hi]
-            x = _matrix(vectors.take(pa.array(of)), int(col["dims"][of[0]]))
-            norm = np.linalg.norm(x, axis=1)
-            shard, i, j, f = col["shard"][of], col["i"][of[0]], col["j"][of[0]], col["filter"][of[0]]
-            a, b = np.flatnonzero(shard == i), np.flatnonzero(shard == j)
-            hit = (x[a] @ x[b].T) / (norm[a][:, None] * norm[b]) >= cosine
-            hit &= (a[:, None] < b) if i == j else np.ones(1, bool)
-            used = np.union1d(a[hit.any(1)], b[hit.any(0)])
-            if not len(used):
-                continue
-            earlier = _shared_before(lists.take(pa.array(of[used])), f)
-            place = np.full(hi - lo, -1)
-            place[used] = np.arange(len(used))
-            ha, hb = np.nonzero(hit)
-            first = ~earlier[place[a[ha]], place[b[hb]]]
-            ha, hb = a[ha[first]], b[hb[first]]
-            if not len(ha):
-                continue
-            n = np.zeros(hi - lo, np.int64)
-            np.add.at(n, ha, col["copies"][of[hb]])
-            np.add.at(n, hb, col["copies"][of[ha]])
-            label = spanning(hi - lo, iter([(ha, hb)]))
-            some = np.flatnonzero(n)
-            ids.append(col["id"][of[some]])
-            links.append(n[some])
-            roots.append(col["id"][of[label[some]]])
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, links, roots)], ["id", "links", "root"])
+        for t in whole_cells(batches, CELL, VECTORS):
+            found = [x for lo, hi in itertools.pairwise(_bounds(t).tolist()) if hi - lo > 1 and (x := _cell_links(t.slice(lo, hi - lo), cosine))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "links", "root"])
 
     return run
 
 
+def _cell_links(t: pa.Table, cosine: float) -> tuple[np.ndarray, ...] | None:
+    """(id, links, root) of the rows of one cell that have links which count there."""
+    ids, copies, shard = (t.column(n).to_numpy() for n in ("id", "copies", "shard"))
+    dims, f, i, j = (t.column(n)[0].as_py() for n in ("dims", "filter", "i", "j"))
+    x = _matrix(t.column("v").combine_chunks(), dims)
+    norm = np.linalg.norm(x, axis=1)
+    a, b = np.flatnonzero(shard == i), np.flatnonzero(shard == j)
+    hit = (x[a] @ x[b].T) / (norm[a][:, None] * norm[b]) >= cosine
+    hit &= (a[:, None] < b) if i == j else np.ones(1, bool)
+    used = np.union1d(a[hit.any(1)], b[hit.any(0)])
+    if not len(used):
+        return None
+    earlier = _shared_before(t.column("filters").combine_chunks().take(pa.array(used)), f)
+    place = np.full(len(ids), -1)
+    place[used] = np.arange(len(used))
+    ha, hb = np.nonzero(hit)
+    first = ~earlier[place[a[ha]], place[b[hb]]]
+    ha, hb = a[ha[first]], b[hb[first]]
+    if not len(ha):
+        return None
+    n = np.zeros(len(ids), np.int64)
+    np.add.at(n, ha, copies[hb])
+    np.add.at(n, hb, copies[ha])
+    label = spanning(len(ids), iter([(ha, hb)]))
+    some = np.flatnonzero(n)
+    return ids[some], n[some], ids[label[some]]
+
+
 def _shared_before(lists: pa.ListArray, f: int) -> np.ndarray:
     """For each two rows: whether their lists share a filter below ``f``."""
     n = len(lists)
@@ -247,7 +265,7 @@ def _shared_before(lists: pa.ListArray, f: int) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """(id column, n_links, component_id) of each row; equal labels only, cosine at ``cosine`` or above."""
     v, label = F.col(vector_col).cast("array<double>"), F.col(label_col)
-    usable = label.isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    usable = F.col(id_col).isNotNull() & label.isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     digest = F.sha2(F.concat_ws(",", label.cast("string"), F.transform(v, lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string")))), 256)
     key = F.when(F.coalesce(usable, F.lit(False)), digest)
     rows = written(vectors.select(F.col(id_col).alias("vid"), label.alias("label"), F.col(vector_col).alias("v"), key.alias("key")), "caps-rows")
@@ -261,12 +279,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     decoded = classes.select("id", F.xxhash64("label").alias("label"), "dims", "v").mapInArrow(_decoded(words), "label long, dims int, filter long, id long, s1 long, s2 long")
     decoded = written(decoded, "caps-filters")
     cells = dealt(decoded, ["label", "dims", "filter"], F.col("id"), SHARD, "caps")
-    near = written(cells.repartition("label", "dims", "filter", "i", "j").mapInArrow(_candidates, "id long, filter long"), "caps-near", 1 << 16)
+    near = written(gathered(cells, CELL).mapInArrow(_candidates, "id long, filter long"), "caps-near", 1 << 16)
     sent = near.groupBy("id").agg(F.sort_array(F.collect_set("filter")).alias("filters"))
     sent = sent.join(classes.select("id", F.xxhash64("label").alias("label"), "dims", "copies", "v"), "id")
     sent = written(sent.select("label", "dims", F.explode("filters").alias("filter"), "id", "copies", "filters", "v"), "caps-sent")
     cells = dealt(sent, ["label", "dims", "filter"], F.col("id"), SHARD, "caps-sent")
-    found = cells.repartition("label", "dims", "filter", "i", "j").mapInArrow(_verified(cosine), "id long, links long, root long")
+    found = gathered(cells, CELL).mapInArrow(_verified(cosine), "id long, links long, root long")
     found = written(found, "caps-found", 4096)
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     member = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pytest
 
 from phaseflow.llm import caps
 from phaseflow.llm.simhash import spanning
@@ -52,15 +55,21 @@ def test_dense_cluster_in_cells(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == brute(rows)
 
 
-def test_recall_at_the_threshold():
+def pairs_at_the_threshold(dims, n=800):
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((800, 64))
+    x = rng.standard_normal((n, dims))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal((800, 64))
+    z = rng.standard_normal((n, dims))
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z
-    code = caps.Code.of(64, 50)
+    return x, caps.COSINE * x + np.sqrt(1 - caps.COSINE**2) * z
+
+
+@pytest.mark.parametrize("dims", [32, 64])
+@pytest.mark.parametrize("words", [8, 50, 300])
+def test_recall_at_the_threshold(dims, words):
+    x, y = pairs_at_the_threshold(dims)
+    code = caps.Code.of(dims, words)
     sets = []
     for v in (x, y):
         r, f = code.decode(v)
@@ -68,11 +77,40 @@ def test_recall_at_the_threshold():
         for a, b in zip(r, f, strict=True):
             own[a].add(b)
         sets.append(own)
-        scores = code._scores(v[:5], 0) >= code.threshold
-        assert all(set(np.flatnonzero(s)) == {b for b in own[k] if b < code.per_code} for k, s in enumerate(scores))
+        (h1, b1), (h2, b2) = code.books[0]
+        turned = v[:5] @ code.turns[0]
+        for k in range(5):  # list decoding finds what all directions together give
+            every = np.add.outer(turned[k, h1] @ b1.T, turned[k, h2] @ b2.T).ravel() >= code.threshold
+            assert set(np.flatnonzero(every)) == {b for b in own[k] if b < code.per_code}
+    assert np.mean([len(o) for o in sets[0]]) == pytest.approx(caps.CODES * caps.EXPECTED, rel=0.3)
     assert np.mean([bool(a & b) for a, b in zip(*sets, strict=True)]) > 0.99
     s, t = (np.stack([w.view(np.uint64) for w in code.signature(v)], 1) for v in (x, y))
-    assert (np.bitwise_count(s ^ t).sum(1) <= caps.SIGNS).all()
+    assert np.mean(np.bitwise_count(s ^ t).sum(1) <= caps.SIGNS) > 0.999
+
+
+def test_a_million_vectors_need_little_memory():
+    tracemalloc.start()
+    try:
+        code = caps.Code(64, int(np.ceil(np.sqrt(1_000_000 / 2))))
+        code.decode(pairs_at_the_threshold(64, 256)[0])
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_ids_and_columns(spark):
+    """Rows with a null id link with nothing, those with one id share their links; other columns stay out, whatever their names."""
+    rows = [(None, [1.0, 0.0], 0), (4, [1.0, 0.01], 0), (4, [0.0, 1.0], 0), (6, [0.01, 1.0], 0), (6, None, 0), (8, [1.0, 1.0], 1)]
+    df = spark.createDataFrame([(*r, 1, "x", 2.0) for r in rows], "vec_id long, embedding array<double>, label int, id int, v string, filter double")
+    out = caps.near_duplicates(df)
+    assert out.columns == ["vec_id", "n_links", "component_id"]
+    assert sorted((r.vec_id or 0, r.n_links) for r in out.collect()) == [(0, 0), (4, 1), (4, 1), (6, 0), (6, 1), (8, 0)]
+
+
+def test_nothing_usable(spark):
+    rows = [(1, None, 0), (2, [0.0], 0), (3, [1.0], None), (4, [float("inf")], 0)]
+    out = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted(tuple(r) for r in out.collect()) == [(i, 0, i) for i in range(1, 5)]
 
 
 def test_empty(spark):
