@@ -1,14 +1,15 @@
-"""Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of at least ``SIMILAR``.
+"""Near copies by SimHash: texts whose sets of 5-word shingles have a Jaccard similarity of at least ``SIMILAR``.
 
-Words are those of ``simhash``. Equal sets are one class, so copies never multiply. ``BANDS`` fingerprints of a class,
-each made of ``ROWS`` minima of its shingles under random permutations, find candidates: classes that share one. At
-similarity s a fingerprint is shared with probability s ** ROWS, so a pair at 0.8 exactly is missed with probability
-(1 - 0.8 ** ROWS) ** BANDS, about 5e-6. Classes that candidates connect meet in one cell, where each pair of candidates
-not yet linked is decided by the exact similarity of its texts' shingles; only what passes is a link. A cell of more
-than ``SHARD`` classes is dealt to shards, a cell for each pair of these.
+Words are those of ``simhash``. Equal sets are one class, so copies never multiply. Each class has a wide fingerprint of
+its set, and the trees of ``simhash.wide_links`` find the classes whose fingerprints differ as little as those of sets at
+``SIMILAR``; about one such pair in a hundred at ``SIMILAR`` exactly has no bucket in common, closer ones far less often.
+Classes that candidates connect meet in one cell, where every pair within the radius and not yet linked is decided by the
+exact similarity of its shingles; only what passes is a link. A component of more than ``SHARD`` classes or ``CELL_CHARS``
+characters is dealt to shards, a cell for each pair of these.
 
 Cases: null and empty texts and texts of blanks have the empty set and are one class; a text of fewer than five words
-has one shingle, all its words; a null id comes after all others; an empty table gives an empty result.
+has one shingle, all its words; a null id comes after all others; repeated rows are copies; an empty table gives an empty
+result; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -21,22 +22,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phaseflow.llm import worker
+from phaseflow.llm import simhash, worker
 from phaseflow.llm.components import components
 from phaseflow.llm.scratch import written
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 40, 6
-SHARD = 2048
+SHARD, CELL_CHARS = 2048, 1 << 24
 SEED = 43
-CHUNK = 1 << 9
+WORDS = [f"w{k}" for k in range(simhash.WIDE // 64)]
 
+#: One fixed odd number and one mask for each word of a fingerprint.
 _rng = np.random.default_rng(SEED)
-_TIMES = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
-_PLUS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
-_MIX = _rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _rng.integers(0, 1 << 63, BANDS, np.uint64)
+_MASK = _rng.integers(0, 1 << 63, len(WORDS), np.uint64)
+_TIMES = _rng.integers(0, 1 << 63, len(WORDS), np.uint64) | np.uint64(1)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -53,15 +52,14 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter((digest(plain[s:e], SEED) for s, e in spans), np.uint64, len(words) - k + 1))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """The fingerprints of a set of shingles; none of the empty set."""
+def wide(found: np.ndarray) -> np.ndarray:
+    """Wide fingerprint of a set of shingles: independent words of each hash, the majority of every bit."""
     if not len(found):
-        return np.zeros(0, np.uint64)
-    low = (found >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
-    for at in range(0, len(low), CHUNK):
-        least = np.minimum(least, (low[at : at + CHUNK] * _TIMES + _PLUS).min(1))
-    return (least.reshape(BANDS, ROWS).astype(np.uint64) * _MIX).sum(1, dtype=np.uint64) ^ _BAND
+        return np.zeros(len(WORDS), np.uint64)
+    h = (found[:, None] ^ _MASK) * _TIMES
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return simhash.majority(h ^ (h >> np.uint64(29)))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -75,28 +73,30 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker.enter("near copies")
     for batch in batches:
-        same, keys = [], []
+        same, words = [], []
         for t in batch.column(2).cast(pa.large_binary()):
             found = shingles(t.as_py() or b"")
             same.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-            keys.append(bands(found).view(np.int64))
-        cols = [batch.column(0), batch.column(1), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "h", "same", "bands"])
+            words.append(wide(found))
+        fp = np.array(words, np.uint64).reshape(-1, len(WORDS)).view(np.int64)
+        cols = [batch.column(0), batch.column(1), pa.array(np.array(same, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in fp.T)]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "h", "same", *WORDS])
 
 
-def _linked(cell: pa.Table) -> pa.Table:
-    """Edges (a, b) of one cell: a forest of the pairs that share a fingerprint and are similar."""
+def _verified(cell: pa.Table) -> pa.Table:
+    """Edges (a, b) of one cell: a forest of the pairs within the radius that are similar."""
     cell = cell.sort_by("same")
     same, shard = cell["same"].to_numpy(), cell["shard"].to_numpy()
     across = cell["i"][0].as_py() != cell["j"][0].as_py()
-    keys = np.array(cell["bands"].to_pylist(), np.int64)
+    fp = np.stack([cell[c].to_numpy() for c in WORDS], 1).view(np.uint64)
+    radius = simhash.radius(SIMILAR, simhash.WIDE)
     sets = [shingles(t.as_py() or b"") for t in cell["text"].cast(pa.large_binary())]
     label = np.arange(len(same))
     for x in range(1, len(same)):
-        shared = (keys[:x] == keys[x]).any(1)
+        near = (np.bitwise_count(fp[:x] ^ fp[x]).sum(1) <= radius) & (label[:x] != label[x])
         if across:
-            shared &= shard[:x] != shard[x]
-        for y in np.flatnonzero(shared).tolist():
+            near &= shard[:x] != shard[x]
+        for y in np.flatnonzero(near).tolist():
             if label[y] != label[x] and similar(sets[x], sets[y]):
                 least, most = sorted((label[x], label[y]))
                 label[label == most] = least
@@ -105,21 +105,20 @@ def _linked(cell: pa.Table) -> pa.Table:
 
 
 def links(classes: DataFrame, docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b) between ``same`` of classes (same, id, h, bands); ``docs`` (id, h, text) has their texts."""
-    keyed = classes.select("same", F.explode("bands").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("same").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    least = written(least.select("key", "least"), "near-keys")
-    stars = keyed.join(least, "key").filter(F.col("same") != F.col("least")).select(F.col("same").alias("a"), F.col("least").alias("b"))
-    cand = written(components(written(stars.distinct(), "near-stars")).withColumnRenamed("node", "same"), "near-candidates")
-    size = written(cand.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
-    parts = F.ceil(F.col("n") / shard).cast("int")
-    member = written(cand.join(size, "component").select("same", "component", parts.alias("parts")).join(classes, "same"), "near-members")
+    """Edges (a, b) between ``same`` of classes (same, id, h, words); ``docs`` (id, h, text) has their texts."""
+    found = simhash.wide_links(classes.select(F.col("same").alias("node"), *WORDS), classes.count(), SIMILAR)
+    cand = written(components(found).withColumnRenamed("node", "same"), "near-candidates")
+    member = written(cand.join(classes, "same"), "near-members")
     match = docs["h"].eqNullSafe(member["h"]) & docs["id"].eqNullSafe(member["id"])
-    rows = docs.join(member.hint("shuffle_hash"), match).select("same", "component", "parts", "bands", "text").dropDuplicates(["same"])
+    rows = docs.join(member.hint("shuffle_hash"), match).select("same", "component", *WORDS, "text").dropDuplicates(["same"])
+    rows = written(rows, "near-texts")
+    size = rows.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / shard), F.ceil(F.sum(F.length("text")) / CELL_CHARS)).cast("int").alias("parts"))
+    size = written(size.filter("parts > 1"), "near-large")
+    rows = rows.join(size, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("same"), F.col("parts")).cast("int"))
     own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("shard")).alias("i"), F.greatest(x, F.col("shard")).alias("j")))
-    cells = rows.select("same", "component", "shard", "bands", "text", F.explode(own).alias("c")).select("same", "component", "shard", "bands", "text", "c.i", "c.j")
-    return written(cells.groupBy("component", "i", "j").applyInArrow(_linked, "a long, b long"), "near-links")
+    cells = rows.select("same", "component", "shard", *WORDS, "text", F.explode(own).alias("c"))
+    return written(cells.select("same", "component", "shard", *WORDS, "text", "c.i", "c.j").groupBy("component", "i", "j").applyInArrow(_verified, "a long, b long"), "near-links")
 
 
 def text_hash(text: Column) -> Column:
@@ -129,10 +128,11 @@ def text_hash(text: Column) -> Column:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, lead_id, lead_h) of each row, ``h`` the hash of its text: the least row reachable by links, itself included."""
     texts = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    rows = written(texts.mapInArrow(_signed, f"id {texts.schema['id'].dataType.simpleString()}, h long, same long, bands array<long>"), "near")
+    words = ", ".join(f"{w} long" for w in WORDS)
+    rows = written(texts.mapInArrow(_signed, f"id {texts.schema['id'].dataType.simpleString()}, h long, same long, {words}"), "near")
     lead = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
-    classes = written(rows.groupBy("same").agg(F.min(lead).alias("lead"), F.first("bands").alias("bands")), "near-classes")
-    edges = links(classes.select("same", "lead.id", "lead.h", "bands"), texts)
+    classes = written(rows.groupBy("same").agg(F.min(lead).alias("lead"), *[F.first(w).alias(w) for w in WORDS]), "near-classes")
+    edges = links(classes.select("same", "lead.id", "lead.h", *WORDS), texts)
     member = written(components(edges).withColumnRenamed("node", "same"), "near-linked")
     leads = classes.select("same", "lead")
     least = member.join(leads, "same").groupBy("component").agg(F.min("lead").alias("first"))

@@ -21,7 +21,9 @@ columns stay out of the result.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phaseflow.llm import worker
+from phaseflow.llm.buckets import dealt, gathered, whole_cells
 from phaseflow.llm.components import components
 from phaseflow.llm.scratch import written
 
@@ -42,6 +45,23 @@ BUCKET = 4096
 CHUNK = 1 << 16
 #: Queries that walk the trees together.
 WALK = 1 << 14
+#: Bits of a wide fingerprint, of which the first ``TREE`` go into trees; random fingerprints that a part's bucket is
+#: expected to hold; share of pairs at the similarity asked for that no part puts into one bucket.
+WIDE, TREE, CROWD, MISS = 256, 128, 16, 0.01
+#: Standard deviations above the expected number of differing bits that a radius reaches.
+REACH = 3.5
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """For rows of unsigned words: words whose bits are set in over half the rows."""
+    n, words = h.shape
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, n, CHUNK):
+        some = np.ascontiguousarray(h[at : at + CHUNK], "<u8")
+        lanes = np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").view(np.uint64)  # eight counters a word
+        sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
+        ones += sums.view(np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
 def fingerprint(text: bytes) -> int:
@@ -53,13 +73,10 @@ def fingerprint(text: bytes) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(SHINGLE, len(words))
-    starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), CHUNK):
-        spans = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
-        h = np.array([digest(plain[s:e], SEED) for s, e in spans], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts), bitorder="little").tobytes(), "little")
+    starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(plain[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
+    return int(majority(h[:, None])[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,17 +113,17 @@ def _keys(fp: Column, m: int) -> Column:
 
 
 class Forest:
-    """BK-trees over fingerprints, one for each run of equal ``cell``; built and searched level by level."""
+    """BK-trees over fingerprints (rows of words), one for each run of equal ``cell``; built and searched level by level."""
 
-    def __init__(self, fp: np.ndarray, cell: np.ndarray):
-        self.fp = fp
+    def __init__(self, fp: np.ndarray, cell: np.ndarray, radius: int = RADIUS):
+        self.fp, self.radius, self.bits = fp, radius, 64 * fp.shape[1]
         first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
         self.cells, self.roots = cell[first], first
         item = np.setdiff1d(np.arange(len(fp)), first, assume_unique=True)
         parent = first[np.searchsorted(self.cells, cell[item])]
         keys, child = [], []
         while len(item):
-            key = parent * 65 + np.bitwise_count(fp[item] ^ fp[parent])
+            key = parent * (self.bits + 1) + distance(fp[item], fp[parent])
             unique, at, of = np.unique(key, return_index=True, return_inverse=True)
             keys.append(unique)
             child.append(item[at])
@@ -126,15 +143,21 @@ class Forest:
             q = asked[begin : begin + WALK]
             node = self.roots[at[q]]
             while len(q):
-                d = np.bitwise_count(fp[q] ^ self.fp[node]).astype(np.int64)
-                hit = d <= RADIUS
+                d = distance(fp[q], self.fp[node])
+                hit = d <= self.radius
                 yield q[hit], node[hit]
-                low = np.searchsorted(self.keys, node * 65 + np.maximum(d - RADIUS, 1), "left")
-                n = np.searchsorted(self.keys, node * 65 + np.minimum(d + RADIUS, 64), "right") - low
+                base = node * (self.bits + 1)
+                low = np.searchsorted(self.keys, base + np.maximum(d - self.radius, 1), "left")
+                n = np.searchsorted(self.keys, base + np.minimum(d + self.radius, self.bits), "right") - low
                 q = np.repeat(q, n)
                 node = self.child[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(q))]
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each row."""
+    return sum(np.bitwise_count(a[:, k] ^ b[:, k]).astype(np.int64) for k in range(a.shape[1]))
+
+
 def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Least reachable number for each of ``n`` nodes, pairs taken in as they come."""
     label = np.arange(n)
@@ -151,33 +174,87 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return label
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (way, key, i, j, shard, fp) of whole cells to edges (a, b)."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-    if not parts:
-        return
-    way, key, i, j, shard, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((fp, j, i, key, way))
-    way, key, i, j, shard, fp = (x[order] for x in (way, key, i, j, shard, fp))
-    new = (way[1:] != way[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-    cell, fp = np.concatenate(([0], np.cumsum(new))), fp.view(np.uint64)
-    built, asked = np.flatnonzero(shard == i), np.flatnonzero(shard == j)
-    forest = Forest(fp[built], cell[built])
-    label = spanning(len(fp), ((asked[q], built[n]) for q, n in forest.near(fp[asked], cell[asked])))
-    moved = np.flatnonzero(label != np.arange(len(fp)))
-    yield pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[label[moved]].view(np.int64))], ["a", "b"])
+def _links(radius: int):
+    """Rows (way, key, i, j, shard, node, words of the fingerprint) of whole cells to edges (a, b) between nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_cells(batches, CELL):
+            way, key, i, j, shard, node, *fp = (c.to_numpy() for c in t.columns)
+            new = (way[1:] != way[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            cell, fp = np.concatenate(([0], np.cumsum(new))), np.stack(fp, 1).view(np.uint64)
+            built, asked = np.flatnonzero(shard == i), np.flatnonzero(shard == j)
+            forest = Forest(fp[built], cell[built], radius)
+            label = spanning(len(fp), ((asked[q], built[n]) for q, n in forest.near(fp[asked], cell[asked])))
+            moved = np.flatnonzero(label != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["a", "b"])
+
+    return run
+
+
+CELL = ["way", "key", "i", "j"]
+
+
+def _linked(keyed: DataFrame, words: int, radius: int, shard: int, tag: str) -> DataFrame:
+    """Edges (a, b) between ``node`` of rows (way, key, node, w0, ...) that share a bucket and are within the radius."""
+    cells = dealt(keyed, ["way", "key"], F.col("node"), shard, tag).select(*CELL, "shard", "node", *[f"w{k}" for k in range(words)])
+    return written(gathered(cells, CELL).mapInArrow(_links(radius), "a long, b long"), f"{tag}-links", 1 << 14)
 
 
 def links(classes: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp``; their components are those of all links."""
-    keyed = classes.select("fp", F.explode(_keys(F.col("fp"), blocks_for(n))).alias("k")).select("k.way", "k.key", "fp")
-    large = written(keyed.groupBy("way", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard), "simhash-large")
-    parts = F.coalesce(F.ceil(F.col("n") / shard), F.lit(1)).cast("int")
-    rows = keyed.join(large, ["way", "key"], "left").select("way", "key", "fp", parts.alias("parts"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("shard")).alias("i"), F.greatest(x, F.col("shard")).alias("j")))
-    cells = rows.select("way", "key", "shard", "fp", F.explode(own).alias("c")).select("way", "key", "c.i", "c.j", "shard", "fp")
-    return written(cells.repartition("way", "key", "i", "j").mapInArrow(_links, "a long, b long"), "simhash-links", 1 << 16)
+    keyed = classes.select("fp", F.explode(_keys(F.col("fp"), blocks_for(n))).alias("k"))
+    return _linked(keyed.select("k.way", "k.key", F.col("fp").alias("node"), F.col("fp").alias("w0")), 1, RADIUS, shard, "simhash")
+
+
+def differing(similar: float) -> float:
+    """Share of bits in which two sets differ that have this Jaccard similarity and one size: an angle over pi."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
+
+
+def radius(similar: float, bits: int) -> int:
+    """Differing bits, of ``bits``, that hardly any pair at ``similar`` exceeds."""
+    share = differing(similar)
+    return math.ceil(bits * share + REACH * math.sqrt(bits * share * (1 - share)))
+
+
+@lru_cache(maxsize=64)
+def ways_for(bits: int, similar: float) -> int:
+    """Least number of parts of ``bits`` bits that keep all but ``MISS`` of the pairs at ``similar``."""
+    share = differing(similar)
+    chance = [math.comb(WIDE, d) * share**d * (1 - share) ** (WIDE - d) for d in range(WIDE + 1)]
+    agree = [math.comb(WIDE - d, bits) / math.comb(WIDE, bits) for d in range(WIDE + 1)]
+    ways = 1
+    while sum(c * (1 - a) ** ways for c, a in zip(chance, agree, strict=True)) > MISS:
+        ways += 1
+    return ways
+
+
+def _parts(bits: int, ways: int):
+    """Rows (node, words of the wide fingerprint) to (way, key, node, words in trees), ``ways`` rows each."""
+    rng = np.random.default_rng([SEED, bits, ways])
+    drawn = np.stack([rng.permutation(WIDE)[:bits] for _ in range(ways)])
+    weight = 1 << np.arange(bits, dtype=np.int64)
+    names = ["way", "key", "node", *[f"w{k}" for k in range(TREE // 64)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.stack([c.to_numpy() for c in b.columns[1:]], 1)
+            on = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+            key = np.stack([on[:, d] @ weight for d in drawn], 1).ravel()
+            way = np.tile(np.arange(ways, dtype=np.int16), len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(way), pa.array(key.astype(np.int32)), *(pa.array(np.repeat(c.to_numpy(), ways)) for c in b.columns[: 1 + TREE // 64])], names)
+
+    return run
+
+
+def wide_links(classes: DataFrame, n: int, similar: float, shard: int = SHARD) -> DataFrame:
+    """Edges (a, b) between ``node`` of ``n`` classes (node, w0, w1, ...) whose fingerprints differ as little as those of
+    sets with this Jaccard similarity: candidates, a forest for each bucket."""
+    bits = min(24, max(6, math.ceil(math.log2(max(1, n) / CROWD))))
+    words = ", ".join(f"w{k} long" for k in range(TREE // 64))
+    rows = classes.select("node", *[f"w{k}" for k in range(WIDE // 64)])
+    keyed = rows.mapInArrow(_parts(bits, ways_for(bits, similar)), f"way short, key int, node long, {words}")
+    return _linked(keyed, TREE // 64, radius(similar, TREE), shard, "simhash-wide")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

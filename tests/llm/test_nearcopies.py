@@ -47,6 +47,7 @@ def test_every_pair_of_the_band(spark, band):
 
 def test_shards(spark, band, monkeypatch):
     monkeypatch.setattr(nearcopies.links, "__defaults__", (2,))
+    monkeypatch.setattr(nearcopies, "CELL_CHARS", 1 << 12)
     df = spark.createDataFrame(list(enumerate(band)), "doc_id long, text string")
     assert {r.id: r.lead_id for r in nearcopies.near_copies(df).collect()} == dict(enumerate(brute(band)))
 
