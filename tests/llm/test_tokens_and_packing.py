@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -102,13 +103,40 @@ def best(lengths: list[int], capacity: int) -> int:
 
 def test_completion_against_all_packings():
     rng = random.Random(1)
-    worse = 0
-    for _ in range(60):
-        lengths = [rng.randint(1, 20) for _ in range(9)]
-        plan = packing.Completion(Counter(lengths), 20).solve()
-        worse += plan.bins - best(lengths, 20)
-        assert plan.bins >= best(lengths, 20) >= packing.Completion(Counter(lengths), 20).bound()
-    assert worse <= 2
+    for k in range(300):
+        capacity = rng.choice([20, 50])
+        low, high = ((1, capacity), (capacity // 6, capacity * 2 // 3))[k % 2]
+        lengths = [rng.randint(low, high) for _ in range(rng.choice([6, 8, 9, 10]))]
+        completion = packing.Completion(Counter(lengths), capacity)
+        plan = completion.solve()
+        assert plan.proven and plan.bins == best(lengths, capacity) >= completion.bound(), (lengths, capacity)
+
+
+def test_one_bin_fewer_than_best_fits():
+    completion = packing.Completion(Counter([3, 5, 5, 6, 7, 9, 10, 11, 11, 12]), 20)
+    assert sum(times for _, times in completion._greedy()) == 5
+    assert completion.solve().bins == 4
+
+
+def test_dominated_fillings():
+    """Against the definition: all sets of the items in a filling, all items outside it."""
+    rng = random.Random(2)
+    for _ in range(400):
+        items = Counter(rng.randint(1, 12) for _ in range(8))
+        table = packing.Lengths(np.array([items[x] for x in range(21)]), 20)
+        gap = 20 - table.present[-1]
+        rest = items - Counter([table.present[-1]])
+        for filling in table.fillings(gap, 10_000, [gap]):
+            other, room = rest - Counter(filling), gap - sum(filling)
+            sets = [s for n in range(len(filling) + 1) for s in itertools.combinations(filling, n)]
+            swap = lambda s, e: sum(s) <= e <= sum(s) + room and (len(s) != 1 or s[0] < e)  # noqa: E731, B023
+            assert table.dominated(filling, gap) == any(swap(s, e) for s in sets for e in other), (items, filling)
+
+
+def test_limits_are_told():
+    lengths = Counter(np.random.default_rng(0).integers(600, 760, 500).tolist())
+    plan = packing.Completion(lengths, steps=1000).solve()
+    assert not plan.proven and plan.bins >= packing.Completion(lengths).bound()
 
 
 def test_empty(no_docs):
