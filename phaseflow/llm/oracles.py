@@ -62,9 +62,10 @@ SELECT page_id, host, path, rule, coalesce(own, spread, 'allow') AS verdict FROM
 
 def _canonical(text: str) -> str:
     """List of a text's lines in canonical form."""
-    form = "' ' || trim(regexp_replace(x, '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' '"
+    form = "' ' || trim(regexp_replace(x, '[^\\p{L}\\p{N}]+', '  ', 'g')) || ' '"
     for a, b in licenses.EQUAL:
-        form = f"replace({form}, ' {a} ', ' {b} ')"
+        form = f"replace({form}, ' {a.replace(' ', '  ')} ', ' {b} ')"
+    form = f"replace({form}, '  ', ' ')"
     low = f"translate(replace(coalesce({text}, ''), chr(13), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     lines = f"list_filter(string_split({low}, chr(10)), lambda x: NOT regexp_matches(x, '{licenses.COPYRIGHT}'))"
     return f"list_filter(list_transform({lines}, lambda x: trim({form})), lambda x: x <> '')"
@@ -131,36 +132,47 @@ x AS MATERIALIZED (SELECT ln, lg, sn, sr, doc_id, {", ".join(f"({c})::DOUBLE AS
     key = "ln, lg, sn, sr"
     quant = lambda i, q: f"list_sort(list(floor(x{i} * 64)))[ceil({q} * count(*))::BIGINT]"
     first = [f"({quant(i, 0.5)} + 0.5) / 64 AS m{i}" for i in range(d)]
-    first += [f"((({quant(i, 0.75)} + 1) / 64 - {quant(i, 0.25)} / 64) / 1.349) ** 2 + {floors[i] ** 2!r}::DOUBLE AS c{i}_{i}" if i == k else f"0.0::DOUBLE AS c{i}_{k}" for i, k in pairs]
-    out += f", p0 AS (SELECT {key}, {', '.join(first)} FROM x GROUP BY {key})"
-
-    def distances(k: int) -> str:
-        """Cholesky factors, one CTE each as later ones need earlier ones, then forward substitution."""
-        sql, last = "", f"p{k}"
+    first += [f"((({quant(i, 0.75)} + 1) / 64 - {quant(i, 0.25)} / 64) / 1.349) ** 2 AS c{i}_{i}" if i == k else f"0.0::DOUBLE AS c{i}_{k}" for i, k in pairs]
+    out += f", p0 AS (SELECT {key}, 0 AS st, {', '.join(first)} FROM x GROUP BY {key})"
+    names = ", ".join([*(f"m{i}" for i in range(d)), *(f"l{i}_{j}" for i, j in pairs)])
+
+    def factor(k: str) -> str:
+        """Cholesky factors, one CTE each as later ones need earlier ones."""
+        floored = ", ".join(f"greatest(c{i}_{i}, {floors[i] ** 2!r}::DOUBLE) AS c{i}_{i}" for i in range(d))
+        sql, last = f", b{k} AS (SELECT * REPLACE ({floored}) FROM p{k})", f"b{k}"
         for i, j in pairs:
             rest = " - ".join([f"c{i}_{j}", *[f"l{i}_{z} * l{j}_{z}" for z in range(j)]])
             name = f"f{k}_{i}{j}"
-            sql += f", {name} AS (SELECT *, {f'sqrt({rest})' if i == j else f'({rest}) / l{j}_{j}'} AS l{i}_{j} FROM {last})"
+            sql += f", {name} AS (SELECT *, {f'sqrt(greatest({rest}, {quality.LEAST!r}::DOUBLE))' if i == j else f'({rest}) / l{j}_{j}'} AS l{i}_{j} FROM {last})"
             last = name
-        base = f"SELECT x.*, {', '.join(f'm{i}' for i in range(d))}, {', '.join(f'l{i}_{j}' for i, j in pairs)} FROM x JOIN {last} USING ({key})"
-        sql += f", y{k}_ AS ({base})"
-        last = f"y{k}_"
+        return sql + f", o{k} AS MATERIALIZED (SELECT {key}, st, {names}, 2 * ({' + '.join(f'ln(l{i}_{i})' for i in range(d))}) AS logdet FROM {last})"
+
+    def distances(k: str) -> str:
+        """Forward substitution."""
+        sql, last = f", y{k}_ AS (SELECT x.*, st, {names} FROM x JOIN o{k} USING ({key}))", f"y{k}_"
         for i in range(d):
             rest = " - ".join([f"x{i} - m{i}", *[f"l{i}_{z} * y{z}" for z in range(i)]])
             sql += f", y{k}_{i} AS (SELECT *, ({rest}) / l{i}_{i} AS y{i} FROM {last})"
             last = f"y{k}_{i}"
-        return sql + f", d{k} AS (SELECT {key}, doc_id, {', '.join(f'x{i}' for i in range(d))}, {' + '.join(f'y{i} * y{i}' for i in range(d))} AS d2 FROM {last})"
+        return sql + f", d{k} AS MATERIALIZED (SELECT *, {' + '.join(f'y{i} * y{i}' for i in range(d))} AS d2 FROM {last})"
 
+    means = [f"avg(x{i}) AS m{i}" for i in range(d)]
+    cov = lambda f: [f"(avg(x{i} * x{j}) - avg(x{i}) * avg(x{j})) * {f} AS c{i}_{j}" for i, j in pairs]
+    out += factor("0")
     for k in range(quality.STEPS):
-        out += distances(k)
-        out += f", n{k} AS MATERIALIZED (SELECT *, floor(log2(d2 + 1e-6) * 8) AS bin FROM d{k}), q{k} AS (SELECT {key}, list_sort(list(bin))[ceil({quality.SUBSET} * count(*))::BIGINT] AS cut FROM n{k} GROUP BY {key})"
-        means = [f"avg(x{i}) AS m{i}" for i in range(d)]
-        cov = [f"(avg(x{i} * x{j}) - avg(x{i}) * avg(x{j})) * {quality.CONSISTENT} + {floors[i] ** 2 if i == j else 0.0!r}::DOUBLE AS c{i}_{j}" for i, j in pairs]
-        out += f", p{k + 1} AS (SELECT {key}, {', '.join([*means, *cov])} FROM n{k} JOIN q{k} USING ({key}) WHERE bin <= cut GROUP BY {key})"
-    out += distances(quality.STEPS)
+        out += distances(str(k))
+        out += f", n{k} AS (SELECT *, floor(log2(d2 + 1e-6) * 8) AS bin FROM d{k}), q{k} AS (SELECT {key}, st, list_sort(list(bin))[ceil({quality.SUBSET} * count(*))::BIGINT] AS cut FROM n{k} GROUP BY {key}, st)"
+        step = f"SELECT {key}, st, {', '.join([*means, *cov(quality.CONSISTENT)])} FROM n{k} JOIN q{k} USING ({key}, st) WHERE bin <= cut GROUP BY {key}, st"
+        if k == 0:
+            sign = [f"any_value(m{i})" for i in range(d)] + [f"coalesce(sum(y{i} * y{j} / nullif(d2, 0)), 0) / count(*) * {d} * any_value(l{i}_{i}) * any_value(l{j}_{j})" for i, j in pairs]
+            step += f" UNION ALL SELECT {key}, 1, {', '.join([*means, *cov(1.0)])} FROM x GROUP BY {key} UNION ALL SELECT {key}, 2, {', '.join(sign)} FROM d0 GROUP BY {key}"
+        out += f", p{k + 1} AS ({step}){factor(str(k + 1))}"
+    every = " UNION ALL ".join(f"SELECT *, {k} AS k FROM o{k + 1}" for k in range(quality.STEPS))
+    out += f", o AS (SELECT * EXCLUDE (rank) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(logdet, 6), k, st) AS rank FROM ({every})) WHERE rank = 1)"
+    out += distances("")
     return f"""{out}
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {quality.CUT}, false) AS kept, n_lines, round(d2, 4) AS d2
-FROM j LEFT JOIN (SELECT doc_id, d2 FROM d{quality.STEPS}) USING (doc_id)"""
+FROM j LEFT JOIN (SELECT doc_id, d2 FROM d) USING (doc_id)"""
 
 
 SQL["op10_quality"] = _outliers()

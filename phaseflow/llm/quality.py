@@ -7,9 +7,13 @@ by minimum covariance determinant and rows whose squared Mahalanobis distance ex
 The determinant is minimised by concentration steps: distances under the present estimate, the ``SUBSET`` nearest part
 of the group, and its mean and covariance. A step is one aggregation: moments are summed per group and bin of distance,
 so the nearest part is a running sum over at most some hundred bins, no rows are sorted, and a group with a third of
-all rows is summed up map-side like any other. The first estimate is the median and the interquartile range, from
-binned counts. ``FLOORS`` is the resolution of each statistic: its square is added to the variance, so that a group of
-copies (no variance at all) does not reject whatever differs from them.
+all rows is summed up map-side like any other. As steps end in local minima, each group has three starts that do not
+depend on chance: the median and the interquartile ranges (from binned counts), the mean and covariance of all rows, and
+the median with the covariance of spatial signs. All take their steps together, ``STEPS`` of them or until no determinant
+changes, and of all estimates on the way that of the least determinant counts.
+
+``FLOORS`` is the resolution of each statistic: the least deviation that an estimate can have, so that a group of copies
+(no variance at all) does not reject whatever differs from them. Every statistic alone can reject a row.
 
 Cases: a null or empty text has no words and fails the base rules; null languages and sources are groups of their own; a
 group of one row keeps it; an empty table gives an empty result; extra columns stay out of the result but for
@@ -30,19 +34,23 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 #: ln(1 + words), ln(characters a word), ln(1 + symbols a word), repeated lines a line, repeated words a word.
-FLOORS = (1.0, 0.15, 0.06, 0.3, 0.3)
+FLOORS = (0.5, 0.15, 0.06, 0.1, 0.035)
 #: Part of a group that a concentration step keeps, and the factor that makes its covariance consistent for a normal
 #: distribution of five dimensions: SUBSET / P(chi2 with 7 degrees <= q), q the SUBSET quantile of chi2 with 5.
 SUBSET = 0.75
 CONSISTENT = 1.41
 #: The 0.9999 quantile of chi2 with 5 degrees of freedom.
 CUT = 25.74
-STEPS = 5
+#: What a pivot of a factorization has at least; rounding may make it negative where statistics depend on each other.
+LEAST = 1e-6
+#: Steps at most, and change of a determinant's logarithm that counts as none.
+STEPS, STILL = 6, 1e-9
 
 D = len(FLOORS)
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
-G = "__group"
+G, START = "__group", "__start"
+MEANS, FACTOR = [f"m{i}" for i in range(D)], [f"l{i}_{j}" for i, j in PAIRS]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -114,46 +122,91 @@ def _first_estimate(points: DataFrame) -> DataFrame:
         F.min(F.when((F.col("dim") == i) & (F.col("upto") >= F.col("all") * 0.25), F.col("bin") / 64)).alias(f"lo{i}"),
         F.min(F.when((F.col("dim") == i) & (F.col("upto") >= F.col("all") * 0.75), (F.col("bin") + 1) / 64)).alias(f"hi{i}"),
     )])
-    cov = {f"c{i}_{j}": (F.pow((F.col(f"hi{i}") - F.col(f"lo{i}")) / 1.349, 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in PAIRS}
-    return spread.select(G, *[f"m{i}" for i in range(D)], *cov.values())
+    cov = [(F.pow((F.col(f"hi{i}") - F.col(f"lo{i}")) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in PAIRS]
+    return spread.select(G, F.lit(0).alias(START), *MEANS, *cov)
 
 
 def _factor(estimate: DataFrame) -> DataFrame:
-    """Cholesky factor of the covariance, written out; the floors keep it positive definite."""
+    """Cholesky factor of the covariance with its floors, written out, and the logarithm of its determinant."""
+    estimate = estimate.withColumns({f"c{i}_{i}": F.greatest(F.col(f"c{i}_{i}"), F.lit(FLOORS[i] ** 2)) for i in range(D)})
     for i, j in PAIRS:
         rest = F.col(f"c{i}_{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-        estimate = estimate.withColumn(f"l{i}_{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}_{j}"))
-    return estimate.select(G, *[f"m{i}" for i in range(D)], *[f"l{i}_{j}" for i, j in PAIRS])
+        estimate = estimate.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(LEAST))) if i == j else rest / F.col(f"l{j}_{j}"))
+    logdet = sum((F.log(F.col(f"l{i}_{i}")) for i in range(1, D)), F.log(F.col("l0_0"))) * 2
+    return estimate.select(G, START, *MEANS, *FACTOR, logdet.alias("logdet"))
 
 
-def _distance(points: DataFrame, factor: DataFrame) -> DataFrame:
-    """Adds the squared Mahalanobis distance ``d2``; null where there is no vector."""
-    out = points.join(factor, G, "left")
+def _whitened(points: DataFrame, factor: DataFrame, how: str = "inner") -> DataFrame:
+    """Adds ``start``, the whitened statistics ``y0``, ``y1``, ... and the squared Mahalanobis distance ``d2``."""
+    out = points.join(factor, G, how)
     for i in range(D):
         rest = F.col(X[i]) - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}_{k}") * F.col(f"y{k}")
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}_{i}"))
     d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, D)), F.col("y0") * F.col("y0"))
-    return out.withColumn("d2", d2).select(*points.columns, "d2")
+    return out.withColumn("d2", d2).select(*points.columns, START, *[f"y{i}" for i in range(D)], "d2")
+
+
+MOMENTS = ["n", *[f"s{i}" for i in range(D)], *[f"q{i}_{j}" for i, j in PAIRS]]
+
+
+def _moments(points: DataFrame, factor: DataFrame, signs: bool = False) -> DataFrame:
+    """Count, sums and sums of products per group, start and bin of distance; with ``signs`` those of spatial signs."""
+    near = _whitened(points, factor).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 8))
+    sums = [F.count(F.lit(1)), *[F.sum(x) for x in X], *[F.sum(F.col(X[i]) * F.col(X[j])) for i, j in PAIRS]]
+    sums = [c.alias(n) for c, n in zip(sums, MOMENTS, strict=True)]
+    if signs:
+        sums += [F.sum(F.try_divide(F.col(f"y{i}") * F.col(f"y{j}"), F.col("d2"))).alias(f"r{i}_{j}") for i, j in PAIRS]
+    return written(near.groupBy(G, START, "bin").agg(*sums), "quality-bins")  # dealt by bin, so no task sums up a whole group
+
+
+def _estimate(sums: DataFrame, factor: float) -> DataFrame:
+    """Mean, and covariance times ``factor``, from moments."""
+    sums = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(D)})
+    cov = [((F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor).alias(f"c{i}_{j}") for i, j in PAIRS]
+    return sums.select(G, START, *MEANS, *cov)
 
 
-def _step(points: DataFrame, factor: DataFrame) -> DataFrame:
-    """Mean and covariance of the nearest part of each group: one concentration step."""
-    near = _distance(points, factor).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * 8))
-    moments = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}_{j}") for i, j in PAIRS]]
-    bins = written(near.groupBy(G, "bin").agg(*moments), "quality-bins")  # dealt by bin, so no task sums up a whole group
-    w = Window.partitionBy(G)
+def _nearest(bins: DataFrame) -> DataFrame:
+    """Mean and covariance of the nearest part under each estimate: one concentration step."""
+    w = Window.partitionBy(G, START)
     bins = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     inner = bins.filter(F.col("upto") - F.col("n") < F.col("all") * SUBSET)
-    names = ["n", *[f"s{i}" for i in range(D)], *[f"q{i}_{j}" for i, j in PAIRS]]
-    total = inner.groupBy(G).agg(*[F.sum(c).alias(c) for c in names])
-    mean = [(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(D)]
-    total = total.select("*", *mean)
-    cov = [((F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}_{j}") for i, j in PAIRS]
-    return total.select(G, *[f"m{i}" for i in range(D)], *cov)
+    return _estimate(inner.groupBy(G, START).agg(*[F.sum(c).alias(c) for c in MOMENTS]), CONSISTENT)
+
+
+def _starts(bins: DataFrame, first: DataFrame) -> DataFrame:
+    """One step of the first start, and the two others: the moments under the first start hold them all."""
+    signs = [f"r{i}_{j}" for i, j in PAIRS]
+    total = bins.groupBy(G).agg(*[F.sum(c).alias(c) for c in [*MOMENTS, *signs]])
+    every = _estimate(total.withColumn(START, F.lit(1)), 1.0)
+    sign = total.join(first, G)
+    cov = [(F.coalesce(F.col(f"r{i}_{j}"), F.lit(0.0)) / F.col("n") * D * F.col(f"l{i}_{i}") * F.col(f"l{j}_{j}")).alias(f"c{i}_{j}") for i, j in PAIRS]
+    return _nearest(bins).union(every).union(sign.select(G, F.lit(2).alias(START), *MEANS, *cov))
+
+
+def least_determinant(points: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(group, start, means, factor, logdet): the estimate of the least determinant for each group of ``points``."""
+    small = lambda df, k: written(_factor(df).repartition(1), f"quality-{k}")  # noqa: E731  a row a group and start in one file, so that its size shows
+    first = small(_first_estimate(points), "first")
+    now = small(_starts(_moments(points, first, signs=True), first), 0)
+    found = [now]
+    for k in range(1, steps):
+        now = small(_nearest(_moments(points, now)), k)
+        before = found[-1].select(G, START, F.col("logdet").alias("before"))
+        found.append(now)
+        change = now.join(before, [G, START]).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        if change is None or change < STILL:
+            break
+    every = found[0].withColumn("k", F.lit(0))
+    for k, df in enumerate(found[1:], 1):
+        every = every.union(df.withColumn("k", F.lit(k)))
+    names = [START, *MEANS, *FACTOR, "logdet"]
+    best = every.groupBy(G).agg(F.min_by(F.struct(*names), F.struct(F.round("logdet", 6), "k", START)).alias("best"))
+    return written(best.select(G, *[f"best.{c}" for c in names]).repartition(1), "quality-best")
 
 
 def judged(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), lang_col: str = "lang", source_col: str = "source", steps: int = STEPS, cut: float = CUT) -> DataFrame:
@@ -161,9 +214,6 @@ def judged(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_
     group = F.to_json(F.struct(F.col(lang_col).alias("a"), F.col(source_col).alias("b"))).alias(G)
     named = docs.select(*keep, group, F.col(text_col).alias("__text"))
     rows = written(vectors(statistics(named, "__text", [*keep, G])), "quality")
-    points = rows.filter(~F.col("base_failed")).select(G, *X)
-    factor = written(_factor(_first_estimate(points)).repartition(1), "quality-0")  # a row a group in one file, so that its size shows
-    for k in range(steps):
-        factor = written(_factor(_step(points, factor)).repartition(1), f"quality-{k + 1}")
-    out = _distance(rows, factor)
+    factor = least_determinant(rows.filter(~F.col("base_failed")).select(G, *X), steps)
+    out = _whitened(rows, factor, "left").drop(START, *[f"y{i}" for i in range(D)])
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= cut)).drop(G, *X)
