@@ -115,7 +115,10 @@ def known() -> list[tuple[str, str]]:
 
 
 #: Licences whose whole texts stand in ``license_texts``.
-FILES = ("Apache-2.0", "MPL-2.0", "BSD-2-Clause", "Unlicense", "GPL-1.0", "GPL-2.0", "GPL-3.0", "CC-BY-SA-4.0")
+FILES = (
+    "Apache-2.0", "MPL-1.1", "MPL-2.0", "BSD-2-Clause", "Unlicense", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "GFDL-1.2", "GFDL-1.3", "Artistic-1.0-Perl",
+    "CC0-1.0", "CC-BY-SA-4.0",
+)
 THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
 products derived from this software without specific prior written permission.
 
@@ -130,6 +133,8 @@ HEADERS = {
     "GPL-1.0": ("    This program is free software", "Also add information"),
     "GPL-2.0": ("    This program is free software", "Also add information"),
     "GPL-3.0": ("    This program is free software", "Also add information"),
+    "LGPL-2.0": ("    This library is free software", "Also add information"),
+    "LGPL-2.1": ("    This library is free software", "Also add information"),
 }
 END = "END OF TERMS AND CONDITIONS"
 
@@ -181,10 +186,10 @@ def canonical_lines(text: Column) -> Column:
     low = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "\n"), string.ascii_uppercase, string.ascii_lowercase)
 
     def form(line: Column) -> Column:
-        line = F.concat(F.lit(" "), F.trim(F.regexp_replace(line, OTHER, " ")), F.lit(" "))
+        line = F.concat(F.lit(" "), F.trim(F.regexp_replace(line, OTHER, "  ")), F.lit(" "))  # each word has blanks of its own
         for a, b in EQUAL:
-            line = F.replace(line, F.lit(f" {a} "), F.lit(f" {b} "))
-        return F.trim(line)
+            line = F.replace(line, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b} "))
+        return F.trim(F.replace(line, F.lit("  "), F.lit(" ")))
 
     lines = F.filter(F.split(low, "\n"), lambda x: ~x.rlike(STATEMENT))
     return F.filter(F.transform(lines, form), lambda x: x != "")

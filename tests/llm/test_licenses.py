@@ -40,6 +40,17 @@ def test_forms(spark):
     }
 
 
+def test_equal_spellings_side_by_side(spark):
+    df = spark.createDataFrame([("licence licence; sub-licence non-commercial licence, licence",)], "t string")
+    form = licenses.F.array_join(licenses.canonical_lines(licenses.F.col("t")), " ")
+    assert df.select(form.alias("f")).first().f == "license license sublicense noncommercial license license"
+
+
+def test_items_of_lists_are_no_statements(spark):
+    df = spark.createDataFrame([("(c) You must cause any modified files\n(c) 2020 Somebody\n(C) each of the following\n© 2019 me",)], "t string")
+    assert df.select(licenses.canonical_lines(licenses.F.col("t")).alias("x")).first().x == ["c you must cause any modified files", "c each of the following"]
+
+
 def test_odd_rows(docs, texts, no_docs):
     got = licenses.scanned(docs).collect()
     assert len(got) == len({r[0] for r in texts}) and all(r.n_notices == 0 for r in got)
