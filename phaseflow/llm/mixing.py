@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phaseflow.llm.scratch import written
 from phaseflow.llm.text import id_hash, n_words
@@ -30,6 +31,7 @@ MAX_REPEAT = 3
 SEED = "mix-1"
 
 P = "__mix_"
+ROW = P + "row"
 G = [P + "null", P + "source"]
 
 
@@ -60,13 +62,15 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` without its text, with ``size``, ``source_size``, ``target`` and ``copies`` of each row.
+    """``docs`` without its text, with ``size``, ``source_size``, ``target`` and ``copies`` of each row, and ``ROW``, a hash
+    of all its columns.
 
-    Columns of ``docs`` of these four names are replaced.
+    Columns of ``docs`` of these names are replaced.
     """
-    keep = [c for c in docs.columns if c not in (text_col, "size", "source_size", "target", "copies")]
+    keep = [c for c in docs.columns if c not in (text_col, ROW, "size", "source_size", "target", "copies")]
     size = n_words(F.col(text_col))
-    rows = written(docs.select(*keep, size.alias("size")), "mix-sizes")
+    rows = written(docs.select(*keep, row_hash(docs).alias(ROW), size.alias("size")), "mix-sizes")
+    keep.append(ROW)
     source = F.col(source_col)
     rows = rows.withColumns({G[0]: source.isNull(), G[1]: F.coalesce(source.cast("string"), F.lit("")), P + "class": size_class(F.col("size"))})
     classes = written(rows.groupBy(*G, P + "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")), "mix-classes")
@@ -85,8 +89,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX
     return out.select(*keep, "size", F.col(P + "total").alias("source_size"), F.col(P + "target").alias("target"), passed.cast("long").alias("copies"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Tells rows apart that share an id."""
+    return F.xxhash64(*[F.struct(F.col(f"`{f.name}`"), F.col(f"`{f.name}`").isNull()) for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)])
+
+
 def emitted(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` takes it; rows with one id as often as any of them is taken."""
-    takes = mixed.filter("copies > 0").groupBy(F.col(id_col).alias(P + "id")).agg(F.max("copies").alias(P + "copies"))
-    found = docs.join(takes.hint("shuffle_hash"), docs[id_col].eqNullSafe(takes[P + "id"]))
+    """The rows of ``docs``, each as often as ``mixed`` (id, ``ROW``, copies) takes it; rows that are the same in all columns
+    together as often as all of them are taken."""
+    takes = mixed.groupBy(F.col(id_col).alias(P + "id"), F.col(ROW).alias(P + "own")).agg(F.sum("copies").alias(P + "copies"), F.count(F.lit(1)).alias(P + "rows"))
+    takes = written(takes.filter(F.col(P + "copies") > 0), "mix-takes")
+    keyed = docs.select(*docs.columns, row_hash(docs).alias(P + "row_here"))
+
+    def of(takes: DataFrame) -> DataFrame:
+        return keyed.join(takes.hint("shuffle_hash"), keyed[id_col].eqNullSafe(takes[P + "id"]) & (keyed[P + "row_here"] == takes[P + "own"]))
+
+    found = of(takes.filter(F.col(P + "rows") == 1)).select(*docs.columns, P + "copies")
+    several = takes.filter(F.col(P + "rows") > 1)
+    if not several.isEmpty():
+        one = of(several).groupBy(P + "id", P + "own", P + "copies").agg(F.first(F.struct(*docs.columns)).alias(P + "row"))
+        found = found.union(one.select(P + "row.*", P + "copies"))
     return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(P + "copies").cast("int"))).alias(P + "copy")).drop(P + "copy")

@@ -116,7 +116,7 @@ def fit(texts: Sequence[str], labels: Sequence[int]) -> Model:
     for k, t in enumerate(texts):
         for a, b in sentences(t):
             found = {f for w in set(_WORD.findall(t[a:b].lower())) for f in features(w)}
-            own = [vocabulary[f] for f in found if f in vocabulary]
+            own = sorted(vocabulary[f] for f in found if f in vocabulary)  # sets of text have another order in each process
             if own:  # sentences without features score 0
                 columns.extend(own)
                 ends.append(len(columns))

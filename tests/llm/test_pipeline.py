@@ -10,7 +10,7 @@ import pytest
 from phaseflow.llm import mixing, registry, scratch, toxicity
 from phaseflow.llm.scratch import written
 from phaseflow.session import table
-from tests.llm import test_simhash as plain_simhash
+from tests.llm import test_nearcopies as plain_near
 from tests.llm import test_suffixes as plain_suffixes
 from tests.llm.test_tokens_and_packing import ids
 
@@ -42,9 +42,10 @@ def test_toxicity(spark, staged):
 
 
 def test_simhash(staged):
-    before = by_id(staged[1])
-    component = plain_simhash.brute({i: plain_simhash.plain(t) for i, t in before.items()})
-    assert by_id(staged[2]) == {i: t for i, t in before.items() if component[i] == i}
+    """One document of each group whose 5-word shingles are 0.8 alike, the one with the least id."""
+    before = sorted(by_id(staged[1]).items())
+    lead = plain_near.brute([t for _, t in before])
+    assert by_id(staged[2]) == {before[k][0]: before[k][1] for k in set(lead)}
 
 
 def test_suffixes(staged):
@@ -94,6 +95,27 @@ def test_own_folder_where_none_is_named(spark):
     assert Path(folder).is_dir() and scratch.shared_folder(Unset) == folder
 
 
+def test_rows_that_share_an_id_or_all_but_one_column(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, "en", "y"), (1, a, "en", "x"), (1, a, None, "z"), (1, b, "en", "x"), (2, b, "en", "x"), (None, None, "en", "x"), (5, "", "en", "x"), (4, " \n", "de", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sorted(tuple(r) for r in corpus_pipeline.simhash_stage(spark, df, "").collect())
+    assert got == [(1, a, "en", "x"), (1, b, "en", "x"), (4, " \n", "de", None)]
+
+
+def test_repeated_rows_are_mixed_as_often_as_the_mixture_says(spark):
+    long, short = " ".join(["word"] * 40), "some few words"
+    rows = [(1, long, "s"), (1, short, "s"), (2, long, "s"), (2, long, "s"), (2, long, "s"), (None, short, "s"), (3, None, "t")] + [(k, long, "t") for k in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df)
+    text = {(r[0], len((r[1] or "").split())): r[1] for r in rows}
+    want = Counter()
+    for r in mixed.collect():
+        want[r.doc_id, text[r.doc_id, r.size], r.source] += r.copies
+    out = corpus_pipeline.mixing_stage(spark, df, "")
+    assert out.columns == df.columns and Counter(tuple(r) for r in out.collect()) == +want
+
+
 def odd_stage_rows(spark, docs):
     return docs.select("doc_id", "text", "lang", "source", "n_chars", "copies", "score", "id", "hashes")
 
