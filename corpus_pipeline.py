@@ -1,8 +1,14 @@
 """Training corpus from documents: toxicity, near duplicates, repeated passages, mixture, packed sequences.
 
 Each stage gets all rows that the one before it kept and returns a frame that is written as Parquet and read again; all
-but the last return the columns of ``documents``. Stages keep rows with null texts, languages or sources; a stage of an
-empty table is empty.
+but the last return the columns of ``documents``, whatever their names, as the operators' own begin with ``__``.
+
+Cases: null languages and sources are values like others. Null and empty texts and texts of blanks are not toxic; they are
+copies of each other, so the second stage keeps one of them all, with its row as it is; later stages keep it, and it becomes
+a piece of the end id alone. Rows that share an id are rows of their own, told apart by their texts, or by all columns where
+these decide; of rows with one id and one text one stays, the first by all its columns as JSON. A null id comes after all
+others, so its row stays only if no copy has an id. Ties go to the least id. Texts of any length are read whole. A stage of
+an empty table is empty.
 """
 
 from __future__ import annotations
@@ -25,14 +31,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the least id of each group of near copies (5-word shingles, similarity 0.8), and one of rows
-    that are the same. Rows are told by id and text, so that other rows with the id of a near copy stay."""
+    """Keeps the row with the least id of each group of near copies: texts that SimHash trees find and whose 5-word shingles
+    are 0.8 alike or more. Rows are told by id and text, so that other rows with the id of a near copy stay."""
     near = nearcopies.near_copies(docs)
     first = F.col("id").eqNullSafe(F.col("lead_id")) & (F.col("h") == F.col("lead_h"))
     gone = written(near.filter(~first).select(F.col("id").alias("__gone"), F.col("h").alias("__h")), "pipeline-gone")
     match = docs["doc_id"].eqNullSafe(gone["__gone"]) & (nearcopies.text_hash(docs["text"]) == gone["__h"])
     left = docs.join(gone.hint("shuffle_hash"), match, "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    several = near.filter(first).groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    several = written(several.filter("__n > 1"), "pipeline-several")
+    if several.isEmpty():
+        return left
+    same = left["doc_id"].eqNullSafe(several["__id"]) & (nearcopies.text_hash(left["text"]) == several["__h"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(several, same).groupBy("__id", "__h").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return left.join(several, same, "left_anti").union(one.select("__row.*"))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +57,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
-    return mixing.emitted(docs, written(mixing.mix(docs).select("doc_id", "copies"), "pipeline-mix"))
+    return mixing.emitted(docs, written(mixing.mix(docs).select("doc_id", mixing.ROW, "copies"), "pipeline-mix"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
