@@ -4,6 +4,7 @@ import itertools
 import random
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -13,10 +14,15 @@ from phaseflow.llm import packing, registry, tokens
 PATH = registry.tokenizer_file()
 
 
-def ids(text: str | None) -> np.ndarray:
+@cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return np.array([*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return Tokenizer.from_file(PATH)
+
+
+def ids(text: str | None) -> np.ndarray:
+    return np.array([*tokenizer().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def test_encoder_is_exact(monkeypatch):
