@@ -1,10 +1,12 @@
 """Statistics of flows, a row each, as one aggregation.
 
-Definitions follow the published feature lists of bidirectional flow meters. Lengths are whole frames; times and gaps
-are microseconds; rates are per second and null for flows that last no time; deviations are those of samples, null for
+Definitions follow the published feature lists of bidirectional flow meters. Lengths are payloads where packets carry
+their length, or else whole frames; times and gaps are microseconds; rates are per second and null for flows that last no time; deviations are those of samples, null for
 one value. Forward is the direction of the first packet. Gaps above ``IDLE_S`` part active stretches, gaps above
 ``SUBFLOW_S`` part subflows, and a bulk is ``BULK`` or more packets of one direction in a row with gaps up to
-``SUBFLOW_S``. Header, window and payload columns need packets that carry them and are left out otherwise.
+``SUBFLOW_S``. Header, window and payload columns need packets that carry them (``header_length``, ``window``,
+``payload_length``) and are left out otherwise. With ``timeout`` a gap above it ends a row and begins another, as a meter
+that sees a phase's packets alone would do; ``meter_no`` then counts the rows of a key.
 """
 
 from __future__ import annotations
@@ -40,10 +42,30 @@ def _four(x: Column, name: str) -> list[Column]:
     return [F.avg(x).alias(f"{name} Mean"), F.stddev_samp(x).alias(f"{name} Std"), F.max(x).alias(f"{name} Max"), F.min(x).alias(f"{name} Min")]
 
 
-def statistics(packets: DataFrame, keys: Sequence[str] = ("pcap", "phase", "flow_id")) -> DataFrame:
+def _headers(columns: Sequence[str], only: dict[str, Column]) -> list[Column]:
+    """What needs columns that not all packets have."""
+    out = []
+    for side, is_side in only.items():
+        first = lambda c, is_side=is_side: F.coalesce(F.min_by(F.when(is_side, F.col(c)), F.when(is_side & F.col(c).isNotNull(), F.col("pkt_no"))), F.lit(0)).cast("double")
+        if "header_length" in columns:
+            header = F.when(is_side, F.col("header_length").cast("double"))
+            out += [F.coalesce(F.sum(header), F.lit(0.0)).alias(f"{side} Header Length"), F.coalesce(F.min(header), F.lit(0.0)).alias(f"{side} Seg Size Min")]
+        if "window" in columns:
+            out.append(first("window").alias({"Fwd": "FWD Init Win Bytes", "Bwd": "Bwd Init Win Bytes"}[side]))
+        if "payload_length" in columns:
+            out.append(F.count_if(is_side & (F.col("payload_length") > 0)).cast("double").alias(f"{side} Act Data Pkts"))
+    return out
+
+
+def statistics(packets: DataFrame, keys: Sequence[str] = ("pcap", "phase", "flow_id"), timeout: float | None = None) -> DataFrame:
     """One row for each of ``keys``; columns carry the names that concatenation and labelling read."""
+    if timeout is not None:
+        gap = F.col("ts_s") - F.lag("ts_s").over(Window.partitionBy(*keys).orderBy("pkt_no"))
+        packets = packets.withColumn("__late", F.coalesce(gap > timeout, F.lit(False)).cast("int"))
+        packets = packets.withColumn("meter_no", F.sum("__late").over(Window.partitionBy(*keys).orderBy("pkt_no"))).drop("__late")
+        keys = (*keys, "meter_no")
     df = _prepared(packets, keys)
-    length, fwd = F.col("length").cast("double"), F.col("fwd")
+    length, fwd = F.col("payload_length" if "payload_length" in packets.columns else "length").cast("double"), F.col("fwd")
     only = {"Fwd": fwd, "Bwd": ~fwd}
     first = lambda c, t=None: F.min_by(c, "pkt_no").cast(t or dict(packets.dtypes)[c])
     span = (F.max("ts_s") - F.min("ts_s")) * 1e6
@@ -60,7 +82,7 @@ def statistics(packets: DataFrame, keys: Sequence[str] = ("pcap", "phase", "flow
         bulk = is_side & (F.col("run_n") >= BULK)
         out += [F.count_if(bulk & (F.col("run_at") == 1)).cast("double").alias(f"{side} bulks"), F.count_if(bulk).cast("double").alias(f"{side} bulk packets"), F.coalesce(F.sum(F.when(bulk, length)), F.lit(0.0)).alias(f"{side} bulk bytes")]
         out.append(F.coalesce(F.sum(F.when(bulk & (F.col("run_at") > 1), F.col("gap_s"))), F.lit(0.0)).alias(f"{side} bulk s"))
-        out.append(F.coalesce(F.min(x), F.lit(0.0)).alias(f"{side} Seg Size Min"))
+    out += _headers(packets.columns, only)
     out += [*_four(length, "Packet Length"), F.var_samp(length).alias("Packet Length Variance"), *_four(F.col("gap_s") * 1e6, "Flow IAT")]
     out += [F.count_if(P.has_flag(bit)).cast("double").alias(f"{name} Flag Count") for name, bit in FLAGS.items()]
     out += [(F.max("subflow_no") + 1).cast("double").alias("subflows")]

@@ -8,9 +8,10 @@ comparisons do not. A flow without a readable start overlaps every time window u
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 from typing import Any
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,9 +56,19 @@ def _derived(field: str) -> Column | None:
 class Compiler:
     """Conditions over the columns of one frame."""
 
-    def __init__(self, schema: T.StructType, shift: timedelta = timedelta(0), strict_time: bool = False):
+    def __init__(self, schema: T.StructType, shift: timedelta = timedelta(0), strict_time: bool = False, zone: str | None = None):
         self.types = {f.name: f.dataType for f in schema.fields}
         self.shift, self.strict_time = shift, strict_time
+        self.zone = ZoneInfo(zone) if zone else None
+
+    def moved(self, time: Any, shift: timedelta | None) -> str:
+        """A rule's time as flows have it: shifted, and from UTC to the zone; as it is without ``shift``."""
+        t = datetime.fromisoformat(str(time))
+        if shift is not None:
+            t += shift
+            if self.zone:
+                t = t.replace(tzinfo=UTC).astimezone(self.zone).replace(tzinfo=None)
+        return t.isoformat(sep=" ")
 
     def field(self, name: str) -> tuple[Column, T.DataType | None]:
         if name in self.types:
@@ -97,13 +108,13 @@ class Compiler:
                 return c.isNotNull() & ~F.isnan(c) if real else c.isNotNull()
         raise RuleError(f"unknown operator: {op}")
 
-    def overlap(self, begin: str, end: str, shift: timedelta) -> Column:
-        lo, hi = (F.lit((datetime.fromisoformat(str(t)) + shift).isoformat(sep=" ")).cast("timestamp") for t in (begin, end))
+    def overlap(self, begin: str, end: str, shift: timedelta | None) -> Column:
+        lo, hi = (F.lit(self.moved(t, shift)).cast("timestamp") for t in (begin, end))
         if self.strict_time:
             return F.coalesce((F.col("flow_end") >= lo) & (F.col("flow_start") <= hi), F.lit(False))
         return ~F.coalesce(F.col("flow_end") < lo, F.lit(False)) & ~F.coalesce(F.col("flow_start") > hi, F.lit(False))
 
-    def all_of(self, conditions: Sequence[Mapping[str, Any]], shift: timedelta) -> Column:
+    def all_of(self, conditions: Sequence[Mapping[str, Any]], shift: timedelta | None) -> Column:
         parts, begin, end, ranges = [], None, None, []
         for c in conditions:
             name, value = c["field"], c["value"]
@@ -133,17 +144,17 @@ class Compiler:
         return reduce(lambda a, b: a & b, parts, F.lit(True))
 
     def logic(self, node: Mapping[str, Any]) -> Column:
-        none = timedelta(0)  # times inside are not shifted
         if "any_of" in node:
             return reduce(lambda a, b: a | b, [self.nested(x) for x in node["any_of"]], F.lit(False))
         if "all_of" in node:
             return reduce(lambda a, b: a & b, [self.nested(x) for x in node["all_of"]], F.lit(True))
         if "field" in node:
-            return self.all_of([node], none)
+            return self.all_of([node], None)
         raise RuleError(f"unknown logic: {sorted(node)}")
 
     def nested(self, node: Any) -> Column:
-        return self.all_of(node, timedelta(0)) if isinstance(node, list) else self.logic(node)
+        """Conditions inside logic; their times are not moved."""
+        return self.all_of(node, None) if isinstance(node, list) else self.logic(node)
 
     def rule(self, rule: Mapping[str, Any]) -> Column:
         out = self.all_of(rule.get("match") or [], self.shift)
@@ -151,8 +162,9 @@ class Compiler:
         return out & self.logic(extra) if extra else out
 
 
-def label_column(schema: T.StructType, rules: Mapping[str, Any], policy: str = "last", shift: timedelta = timedelta(0), strict_time: bool = False) -> Column:
-    compiler = Compiler(schema, shift, strict_time)
+def label_column(schema: T.StructType, rules: Mapping[str, Any], policy: str = "last", shift: timedelta = timedelta(0), strict_time: bool = False, zone: str | None = None) -> Column:
+    """The label of a row; ``zone`` names the time zone of the flows' stamps where the rules' times are in UTC."""
+    compiler = Compiler(schema, shift, strict_time, zone)
     ordered = sorted(rules.get("rules") or [], key=lambda r: r.get("priority", float("inf")))
     if policy == "first":
         ordered = ordered[::-1]

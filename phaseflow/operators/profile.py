@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from phaseflow.functions import packets as P
 
-QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+#: Levels of the report.
+QUANTILES = (0.05, *(k / 10 for k in range(1, 9)), *(k / 100 for k in range(90, 100)))
 
 
 def totals(flows: DataFrame, forward: str = "Tot Fwd Pkts", backward: str = "Tot Bwd Pkts") -> DataFrame:
@@ -18,9 +19,9 @@ def totals(flows: DataFrame, forward: str = "Tot Fwd Pkts", backward: str = "Tot
 
 
 def statistics(df: DataFrame, value: str = "total", above: Sequence[int] = (10, 50, 100)) -> DataFrame:
-    """Count, mean, median, deviation, extremes and the percentage of values above each limit."""
+    """Count, mean, median, deviation, extremes and the percentage of values above each limit; null without values."""
     x = F.col(value)
-    shares = [(F.count_if(x > k) * 100.0 / F.count(x)).alias(f"pct_above_{k}") for k in above]
+    shares = [F.try_divide(F.count_if(x > k) * 100.0, F.count(x)).alias(f"pct_above_{k}") for k in above]
     return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_samp(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"), *shares)
 
 
@@ -31,13 +32,30 @@ def quantiles(df: DataFrame, value: str = "total", at: Sequence[float] = QUANTIL
 
 
 def histogram(df: DataFrame, value: str = "total", bins: int = 50) -> DataFrame:
-    """(bin, low, high, n) over equal bins from least to most; the last one is closed."""
-    span = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    x = F.col(value).cast("double")
-    width = (F.col("hi") - F.col("lo")) / bins
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((x - F.col("lo")) / width) + 1, F.lit(bins))).otherwise(F.lit(1))
-    counted = df.join(F.broadcast(span)).select(at.cast("int").alias("bin"), "lo", width.alias("width"))  # one row
-    return counted.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("lo") + (F.col("bin") - 1) * F.col("width")).alias("low"), F.min(F.col("lo") + F.col("bin") * F.col("width")).alias("high"))
+    """(bin, low, high, n) over equal bins from least to most, empty ones too; the last one is closed.
+
+    If all values are the same the bins reach half a unit to both sides; without values there are none.
+    """
+    same = F.max(value) == F.min(value)
+    edge = lambda f, by: (f(value) + F.when(same, by).otherwise(0)).cast("double")
+    span = df.agg(edge(F.min, -0.5).alias("lo"), edge(F.max, 0.5).alias("hi")).filter(F.col("lo").isNotNull())
+    span = span.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+    at = F.least(F.floor((F.col(value).cast("double") - F.col("lo")) / F.col("width")) + 1, F.lit(bins))
+    counted = df.join(F.broadcast(span)).select(at.cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))  # one row
+    every = span.select(F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "lo", "width")
+    low = F.col("lo") + (F.col("bin") - 1) * F.col("width")
+    return every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), low.alias("low"), (F.col("lo") + F.col("bin") * F.col("width")).alias("high"))
+
+
+def report(df: DataFrame, value: str = "total", above: Sequence[int] = (100,)) -> str:
+    """The statistics and quantiles as text."""
+    s = statistics(df, value, above).first()
+    lines = ["Packets a flow", f"- flows: {s.n}"]
+    if s.n:
+        lines += [f"- most: {s.most}", f"- least: {s.least}", f"- mean: {s['mean']:.2f}", f"- median: {s['median']:g}", f"- standard deviation: {s['std'] or 0:.2f}"]
+        lines += [f"- quantile {r.q:.2f}: {r.value:g}" for r in quantiles(df, value).orderBy(F.desc("q")).collect()]  # one row a level
+        lines += [f"- more than {k}: {s[f'pct_above_{k}']:.2f} %" for k in above]
+    return "\n".join(lines) + "\n"
 
 
 def flow_sizes(packets: DataFrame, idle: float = 120.0) -> DataFrame:

@@ -109,6 +109,43 @@ def divide(sequences: DataFrame, phases: Sequence[int], weights: Mapping[str, fl
     return sequences.filter(F.size(names[0]) >= 2).select(*keys, *names).mapInArrow(run, ", ".join([*types, "num_phases int", "marks array<int>"]))
 
 
+def _stretches(sequences: DataFrame, names: Sequence[str], columns: Mapping[str, object], keys: Sequence[str], max_length: int) -> DataFrame:
+    """(keys, s, t, columns) of every stretch of each flow; a column is a function of the flow's arrays to a matrix."""
+    types = [f"`{k}` {sequences.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                arrays = [np.array(batch.column(len(keys) + i)[row].as_py() or [], float)[:max_length] for i in range(len(names))]
+                if not len(arrays[0]) or not all(np.isfinite(a).all() for a in arrays):
+                    continue
+                made = {c: f(arrays) for c, f in columns.items()}
+                s, t = np.triu_indices(len(arrays[0]))
+                for at in range(0, len(s), 1 << 16):  # a long flow has many stretches
+                    i, j = s[at : at + (1 << 16)], t[at : at + (1 << 16)]
+                    ids = [batch.column(k).take(pa.array(np.full(len(i), row))) for k in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(m[i, j]) for m in made.values())], [*keys, "s", "t", *made])
+
+    return sequences.select(*keys, *names).mapInArrow(run, ", ".join([*types, "s int", "t int", *(f"{c} double" for c in columns)]))
+
+
+def _mean_matrix(x: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([0.0], np.cumsum(x)))
+    n = np.arange(len(x))
+    return (total[None, 1:] - total[:-1, None]) / np.maximum(1, n[None, :] - n[:, None] + 1)
+
+
+def matrix_rows(sequences: DataFrame, feature: str, smoothing: float = SMOOTHING, max_length: int = 1000, keys: Sequence[str] = ("pcap", "flow_id")) -> DataFrame:
+    """(keys, s, t, u, j): mean and score of every stretch of one feature, ready to be written as a table by flow."""
+    return _stretches(sequences, [feature], {"u": lambda a: _mean_matrix(a[0]), "j": lambda a: score_matrix(a[0], smoothing)}, keys, max_length)
+
+
+def fused_rows(sequences: DataFrame, weights: Mapping[str, float], smoothing: Mapping[str, float] | None = None, regularization: float = REGULARIZATION, max_length: int = 1000, keys: Sequence[str] = ("pcap", "flow_id")) -> DataFrame:
+    """(keys, s, t, fused) of every stretch, single packets too."""
+    least = [(smoothing or {}).get(n, SMOOTHING) for n in weights]
+    return _stretches(sequences, list(weights), {"fused": lambda a: fused_matrix(a, list(weights.values()), least, regularization)}, keys, max_length)
+
+
 def moments(packets: DataFrame, feature: str, keys: Sequence[str] = ("flow_id",), order: str = "pos") -> DataFrame:
     """(keys, s, t, n, total, square): moments of the integer ``feature`` over each stretch of two packets or more."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

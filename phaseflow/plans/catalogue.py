@@ -152,6 +152,21 @@ for _name, _columns in sql.METER.items():
     _meter(_name, _columns)
 
 
+@query
+def q_flowmeter_headers(spark, sf_dir):
+    df = flowmeter.statistics(adapters.with_headers(_flow_packets(spark, sf_dir)), ["flow_id"])
+    names = {"header": "{} Header Length", "seg_min": "{} Seg Size Min", "data": "{} Act Data Pkts", "len": "Total Length of {} Packet", "max": "{} Packet Length Max"}
+    cols = [F.col(f"`{n.format(s)}`").alias(f"{s.lower()}_{a}") for s in ("Fwd", "Bwd") for a, n in names.items()]
+    return df.select("flow_id", *cols, F.col("FWD Init Win Bytes").alias("fwd_window"), F.col("Bwd Init Win Bytes").alias("bwd_window"))
+
+
+@query
+def q_flowmeter_segments(spark, sf_dir):
+    df = flowmeter.statistics(_flow_packets(spark, sf_dir), ["flow_id"], timeout=3600.0)
+    n = F.col("Total Fwd Packet") + F.col("Total Bwd packets")
+    return df.select("flow_id", "meter_no", n.alias("n"), F.round("Flow Duration", -3).alias("duration"), F.col("Src IP").alias("src_ip"))
+
+
 def _phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of four phases: events of a user's first 28 days, a phase a week of the day of the year."""
     ev = table(spark, sf_dir, "events")
@@ -178,6 +193,8 @@ def _phase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONCAT = ("Flow Duration", "Total Fwd Packet", "Fwd Packet Length Max", "Active Min", "Down/Up Ratio")
 GAP = 30 * 86400.0
+#: So short that phases without rows that count are common, and carried forward.
+CARRY_GAP = 2 * 86400.0
 
 
 @query
@@ -194,8 +211,7 @@ def q_concat_agg(spark, sf_dir):
 
 @query
 def q_concat_carry(spark, sf_dir):
-    few = _phase_rows(spark, sf_dir).filter((F.col("phase") == 1) | (F.col("row_no") % 40 == 0))
-    df = concat.wide(few, CONCAT[1:2], [1, 2, 3, 4], GAP)
+    df = concat.wide(_phase_rows(spark, sf_dir), CONCAT[1:2], [1, 2, 3, 4], CARRY_GAP)
     return df.select(F.col("Flow Key").alias("flow_key"), *[_r(f"Total Fwd Packet_p{p}").alias(f"p{p}") for p in (1, 2, 3, 4)])
 
 

@@ -130,7 +130,7 @@ SELECT flow_id, phase, count(*) AS n, sum(length)::BIGINT AS bytes, min(pos) AS
 METER: dict[str, dict[str, str]] = {
     "id": {"Src IP": "src_ip", "Dst IP": "dst_ip", "Src Port": "src_port", "Dst Port": "dst_port", "Protocol": "proto", "Timestamp": "stamp"},
     "duration": {"Flow Duration": "duration", "Flow Bytes/s": "bytes_s", "Flow Packets/s": "packets_s", "Fwd Packets/s": "fwd_s", "Bwd Packets/s": "bwd_s"},
-    "counts": {"Total Fwd Packet": "fwd_n", "Total Bwd packets": "bwd_n", "Total Length of Fwd Packet": "fwd_len", "Total Length of Bwd Packet": "bwd_len", "Fwd Seg Size Min": "fwd_seg_min"},
+    "counts": {"Total Fwd Packet": "fwd_n", "Total Bwd packets": "bwd_n", "Total Length of Fwd Packet": "fwd_len", "Total Length of Bwd Packet": "bwd_len"},
     "lengths": {f"{side}Packet Length {s}": f"{side.strip().lower() or 'all'}_{s.lower()}" for side in ("Fwd ", "Bwd ", "") for s in ("Max", "Min", "Mean", "Std")} | {"Packet Length Variance": "all_var", "Average Packet Size": "avg_size", "Fwd Segment Size Avg": "fwd_seg", "Bwd Segment Size Avg": "bwd_seg"},
     "iat": {f"{side} IAT {s}": f"{side.lower()}_{s.lower()}" for side in ("Flow", "Fwd", "Bwd") for s in ("Mean", "Std", "Max", "Min")} | {"Fwd IAT Total": "fwd_total", "Bwd IAT Total": "bwd_total"},
     "flags": {f"{f} Flag Count": f.lower() for f in ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "CWR", "ECE")} | {f"{s} {f} Flags": f"{s.lower()}_{f.lower()}" for s in ("Fwd", "Bwd") for f in ("PSH", "URG")},
@@ -180,7 +180,7 @@ def _meter_sql(name: str) -> str:
         bulk = f" FILTER ({side} AND rn >= 4)"
         bulks, inside = f"count_if({side} AND rn >= 4 AND ra = 1)::DOUBLE", f"coalesce(sum(gs) FILTER ({side} AND rn >= 4 AND ra > 1), 0)"
         bytes_ = f"coalesce(sum(length){bulk}, 0)::DOUBLE"
-        out |= {f"Total Length of {s} Packet": size[s], f"{s} IAT Total": f"coalesce(sum(og * 1e6){where[s]}, 0)", f"{s} Seg Size Min": f"coalesce(min(length){where[s]}, 0)::DOUBLE", f"{s} Segment Size Avg": ratio(size[s], n[s])}
+        out |= {f"Total Length of {s} Packet": size[s], f"{s} IAT Total": f"coalesce(sum(og * 1e6){where[s]}, 0)", f"{s} Segment Size Avg": ratio(size[s], n[s])}
         out |= {f"Subflow {s} Packets": f"{n[s]} / (max(sno) + 1)", f"Subflow {s} Bytes": f"{size[s]} / (max(sno) + 1)"}
         out |= {f"{s} Bytes/Bulk Avg": ratio(bytes_, bulks), f"{s} Packet/Bulk Avg": ratio(f"count(*){bulk}::DOUBLE", bulks), f"{s} Bulk Rate Avg": ratio(bytes_, inside)}
         for f, bit in (("PSH", 8), ("URG", 32)):
@@ -191,6 +191,17 @@ def _meter_sql(name: str) -> str:
     return f"WITH {PREPARED} SELECT flow_id, {cols} FROM m4 GROUP BY flow_id"
 
 
+_HEADERS = """, h AS (SELECT *, CASE WHEN proto = 6 THEN 20 + pkt_no % 6 * 4 ELSE 8 END AS head, greatest(length - 54, 0) AS load, CASE WHEN proto = 6 THEN pkt_no * 37 % 65536 END AS win FROM m4)"""
+_HEADER_COLUMNS = ", ".join(
+    f"""coalesce(sum(head) FILTER ({side}), 0)::DOUBLE AS {a}_header, coalesce(min(head) FILTER ({side}), 0)::DOUBLE AS {a}_seg_min, coalesce(arg_min(win, pkt_no) FILTER ({side} AND win IS NOT NULL), 0)::DOUBLE AS {a}_window,
+    count_if({side} AND load > 0)::DOUBLE AS {a}_data, coalesce(sum(load) FILTER ({side}), 0)::DOUBLE AS {a}_len, max(load) FILTER ({side})::DOUBLE AS {a}_max"""
+    for side, a in (("fwd", "fwd"), ("NOT fwd", "bwd"))
+)
+ORACLES["q_flowmeter_headers"] = f"WITH {PREPARED}{_HEADERS} SELECT flow_id, {_HEADER_COLUMNS} FROM h GROUP BY flow_id"
+ORACLES["q_flowmeter_segments"] = f"""WITH {PREPARED},
+k AS (SELECT *, sum(coalesce(gs > 3600, false)::INT) OVER (PARTITION BY flow_id ORDER BY pkt_no) AS meter_no FROM m1)
+SELECT flow_id, meter_no, count(*)::DOUBLE AS n, round((max(ts_s) - min(ts_s)) * 1e6, -3) AS duration, arg_min(src_ip, pkt_no) AS src_ip FROM k GROUP BY flow_id, meter_no"""
+
 for _name in METER:
     ORACLES[f"q_flowmeter_{_name}"] = _meter_sql(_name)
 
@@ -201,17 +212,17 @@ rw AS (
   FROM events)"""
 
 
-def _taken(phases: int, where: str = "true") -> str:
+def _taken(phases: int, gap: int = 2592000) -> str:
     """Phase after phase: rows that count and the last time that counted."""
     out = f"""{ROWS},
 p0 AS (SELECT *, row_number() OVER (PARTITION BY k, phase ORDER BY st, event_id) AS rn, lag(sec) OVER (PARTITION BY k, phase ORDER BY st, event_id) AS prev,
-              min(st) OVER (PARTITION BY k) AS smin, max((phase = 1)::INT) OVER (PARTITION BY k) AS has1 FROM rw WHERE ({where}) AND phase <= {phases}),
+              min(st) OVER (PARTITION BY k) AS smin, max((phase = 1)::INT) OVER (PARTITION BY k) AS has1 FROM rw WHERE phase <= {phases}),
 t1 AS (SELECT *, TRUE AS ok FROM p0 WHERE phase = 1),
 l1 AS (SELECT k, arg_max(sec, rn) AS last FROM t1 GROUP BY k)"""
     for p in range(2, phases + 1):
         out += f""",
 t{p} AS (SELECT * EXCLUDE (good), good = 1 AS ok FROM (
-        SELECT p0.*, min((sec - coalesce(prev, last) < 2592000)::INT) OVER (PARTITION BY k ORDER BY rn) AS good FROM p0 JOIN l{p - 1} USING (k) WHERE phase = {p})),
+        SELECT p0.*, min((sec - coalesce(prev, last) < {gap})::INT) OVER (PARTITION BY k ORDER BY rn) AS good FROM p0 JOIN l{p - 1} USING (k) WHERE phase = {p})),
 l{p} AS (SELECT k, coalesce(m, last) AS last FROM l{p - 1} LEFT JOIN (SELECT k, arg_max(sec, rn) AS m FROM t{p} WHERE ok GROUP BY k) USING (k))"""
     every = " UNION ALL ".join(f"SELECT * FROM t{p} WHERE ok" for p in range(1, phases + 1))
     return f"{out},\ntk AS ({every})"
@@ -223,7 +234,7 @@ ORACLES["q_concat_agg"] = f"""WITH {_taken(2)},
 g AS (SELECT k, phase, min(smin) AS ts, {", ".join(f"{h}(f{i}) AS f{i}" for i, h in enumerate(_HOW))} FROM tk GROUP BY k, phase)
 SELECT a.k AS flow_key, a.ts, {", ".join(f"round(a.f{i}, 6) AS f{i}_p1, round(coalesce(b.f{i}, a.f{i}), 6) AS f{i}_p2" for i in range(5))}
 FROM (SELECT * FROM g WHERE phase = 1) a LEFT JOIN (SELECT * FROM g WHERE phase = 2) b USING (k)"""
-ORACLES["q_concat_carry"] = f"""WITH {_taken(4, "phase = 1 OR event_id % 40 = 0")},
+ORACLES["q_concat_carry"] = f"""WITH {_taken(4, 172800)},
 g AS (SELECT k, phase, sum(f1) AS v FROM tk GROUP BY k, phase),
 h AS (SELECT k, max(v) FILTER (phase = 1) AS a, max(v) FILTER (phase = 2) AS b, max(v) FILTER (phase = 3) AS c, max(v) FILTER (phase = 4) AS d FROM g GROUP BY k)
 SELECT k AS flow_key, round(a, 6) AS p1, round(coalesce(b, a), 6) AS p2, round(coalesce(c, b, a), 6) AS p3, round(coalesce(d, c, b, a), 6) AS p4 FROM h"""
@@ -263,11 +274,12 @@ ORACLES["q_label_nested"] = _orders("WHEN dport = 84 AND flen = 0 THEN 'both' WH
 TOTALS = """WITH g AS (SELECT l_orderkey, count_if(l_returnflag = 'N') + count_if(l_returnflag = 'A') AS x FROM lineitem GROUP BY l_orderkey), t AS (SELECT x::BIGINT AS x FROM g WHERE x > 0)"""
 ORACLES["q_dist_stats"] = f"""{TOTALS} SELECT count(*) AS n, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(stddev_samp(x), 6) AS std, min(x) AS least, max(x) AS most,
   round(count_if(x > 2) * 100.0::DOUBLE / count(*), 6) AS pct_above_2, round(count_if(x > 4) * 100.0::DOUBLE / count(*), 6) AS pct_above_4 FROM t"""
-ORACLES["q_dist_quantiles"] = f"""{TOTALS}, q AS (SELECT quantile_cont(x::DOUBLE, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]) AS v FROM t)
-SELECT unnest([0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q, round(unnest(v), 6) AS value FROM q"""
+_LEVELS = "[0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.91, 0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99]"
+ORACLES["q_dist_quantiles"] = f"""{TOTALS}, q AS (SELECT quantile_cont(x::DOUBLE, {_LEVELS}) AS v FROM t)
+SELECT unnest({_LEVELS})::DOUBLE AS q, round(unnest(v), 6) AS value FROM q"""
 ORACLES["q_dist_hist"] = f"""{TOTALS}, s AS (SELECT min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi, (max(x)::DOUBLE - min(x)::DOUBLE) / 50 AS w FROM t),
-b AS (SELECT CASE WHEN hi > lo THEN least(floor((x - lo) / w) + 1, 50) ELSE 1 END::INT AS bin, lo, w FROM t, s)
-SELECT bin, count(*) AS n, round(min(lo + (bin - 1) * w), 6) AS low, round(min(lo + bin * w), 6) AS high FROM b GROUP BY bin"""
+b AS (SELECT least(floor((x - lo) / w) + 1, 50)::INT AS bin, count(*) AS n FROM t, s GROUP BY ALL)
+SELECT i::INT AS bin, coalesce(n, 0) AS n, round(lo + (i - 1) * w, 6) AS low, round(lo + i * w, 6) AS high FROM s, range(1, 51) AS r(i) LEFT JOIN b ON i = bin"""
 ORACLES["q_flow_counts_fin"] = f"""WITH {PACKETS},
 e AS (SELECT *, coalesce(lag(is_fin) OVER (PARTITION BY endpoint_key ORDER BY pkt_no), false)::INT AS ended FROM pkk WHERE proto IN (6, 17)),
 p AS (SELECT *, sum(ended) OVER (PARTITION BY endpoint_key ORDER BY pkt_no)::INT AS part FROM e),

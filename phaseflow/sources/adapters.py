@@ -42,6 +42,16 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def with_headers(packets: DataFrame) -> DataFrame:
+    """Header, payload and window columns that captures have, made from packet numbers."""
+    tcp = F.col("proto") == 6
+    return packets.withColumns({
+        "header_length": F.when(tcp, 20 + F.col("pkt_no") % 6 * 4).otherwise(8).cast("int"),
+        "payload_length": F.greatest(F.col("length") - 54, F.lit(0)),
+        "window": F.when(tcp, F.col("pkt_no") * 37 % 65536).cast("int"),
+    })
+
+
 def flows_from_conversations(conversations: DataFrame) -> DataFrame:
     """Turns as packets of one flow each conversation: (flow_id, pos, length, direction)."""
     return conversations.select(
