@@ -74,6 +74,14 @@ def q_sessions_recon(spark, sf_dir):
     return out.select("flow_id", "n_packets", "n_bytes", "n_fin", _r("duration_s").alias("duration_s"))
 
 
+@query
+def q_sessions_disorder(spark, sf_dir):
+    """Packets whose place in the file does not follow their time: gaps below zero end no flow."""
+    packets = adapters.disordered(_packets(spark, sf_dir))
+    out = sessionize.flows(sessionize.flow_packets(packets, TIMEOUT, LONGEST, SHORTEST))
+    return out.select("flow_id", "n_packets", "n_bytes", _r("start_s").alias("start_s"), _r("duration_s").alias("duration_s"), "n_fin")
+
+
 @query
 def q_super_flow_drops(spark, sf_dir):
     return sessionize.drops(_packets(spark, sf_dir), TIMEOUT, LONGEST, SHORTEST).drop("pcap")
@@ -116,6 +124,24 @@ def q_fused(spark, sf_dir):
     return segments.fused(scores, {"length": 1.0, "direction": 0.5}).withColumn("fused", F.round("fused", 9))
 
 
+def _fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of values that are no whole numbers."""
+    turns = _turns(spark, sf_dir).withColumns({"packet_length": F.col("length") / F.lit(7.0), "inter_arrival_time": F.col("direction") * F.lit(0.3) + F.col("pos") * F.lit(0.1)})
+    return features.sequences(turns, ["packet_length", "inter_arrival_time"], ["flow_id"])
+
+
+@query
+def q_matrix_fraction(spark, sf_dir):
+    df = segments.matrix_rows(_fractions(spark, sf_dir), "packet_length", keys=("flow_id",)).filter("s < t")
+    return df.select("flow_id", "s", "t", _r("u").alias("u"), F.round(F.col("j") * 1000, 6).alias("j"))
+
+
+@query
+def q_fused_fraction(spark, sf_dir):
+    df = segments.fused_rows(_fractions(spark, sf_dir), {"packet_length": 0.7, "inter_arrival_time": 0.3}, {"inter_arrival_time": 1e-2}, keys=("flow_id",))
+    return df.withColumn("fused", F.round("fused", 6))
+
+
 def _marks(spark: SparkSession, sf_dir: str, phases: list[int]) -> DataFrame:
     seq = features.sequences(_turns(spark, sf_dir).withColumn("packet_length", F.col("length")), ["packet_length", "direction"], ["flow_id"])
     return segments.divide(seq, phases, {"packet_length": 1.0, "direction": 0.5})
@@ -229,6 +255,7 @@ def _labelled(spark: SparkSession, sf_dir: str, rules: list[dict], bad_every: in
         stamp.alias("Timestamp"),
         F.floor(F.col("o_totalprice") * 1000).cast("double").alias("Flow Duration_p1"),
         (F.col("o_orderkey") % 3).cast("double").alias("Total Length of Fwd Packet_p1"),
+        (F.col("o_orderkey") % 4).cast("double").alias("Total Length of Bwd Packet_p1"),
         (F.col("o_orderkey") % 2).cast("double").alias("RST Flag Count_p1"),
         (F.col("o_orderkey") % 17).cast("double").alias("Total Fwd Packet_p1"),
         port.cast("int").alias("maybe_port"),
@@ -267,6 +294,25 @@ NESTED = [
 ]
 
 
+#: Fields that stand for statistics of the first phase.
+FIELDS = [
+    {"label": "short", "priority": 1, "match": [_c("flow_duration", "<", 60.0)]},
+    {"label": "silent", "priority": 2, "match": [_c("zero_bwd", "==", True), _c("total_fwd_len", ">=", 1)]},
+    {"label": "large", "priority": 3, "match": [_c("total_bwd_len", "==", 3), _c("zero_bwd", "==", False), _c("flow_duration", ">=", 100.0)]},
+]
+
+
+@query
+def q_label_fields(spark, sf_dir):
+    return _labelled(spark, sf_dir, FIELDS)
+
+
+@query
+def q_label_zone(spark, sf_dir):
+    """Rule times in UTC, stamps in a zone with summer time."""
+    return _labelled(spark, sf_dir, TIMES, zone="America/Halifax")
+
+
 @query
 def q_label_order(spark, sf_dir):
     return _labelled(spark, sf_dir, ORDER)

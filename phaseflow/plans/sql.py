@@ -55,6 +55,7 @@ SELECT proto, count_if(src_port <> 0 AND dst_port <> 0)::BIGINT AS n_assembled,
 ORACLES["q_sessions"] = f"""WITH {ASSIGNED}
 SELECT flow_id, count(*) AS n_packets, sum(length)::BIGINT AS n_bytes, round(min(ts_s), 6) AS start_s, round(max(ts_s) - min(ts_s), 6) AS duration_s, count_if(is_fin)::BIGINT AS n_fin
 FROM fp GROUP BY flow_id"""
+ORACLES["q_sessions_disorder"] = ORACLES["q_sessions"].replace("event_id AS pkt_no", "event_id * 7919777 % 1000000007 AS pkt_no")
 ORACLES["q_flow_ids"] = f"""WITH {ASSIGNED}
 SELECT flow_id, min(flow_key || '-' || flow_idx || '-' || CAST(floor(round(first_ts * 1000000) / 1000) AS BIGINT)) AS rounded_id, min(flow_idx) AS flow_idx,
        min(seg)::BIGINT AS seg, round(min(first_ts), 6) AS first_ts FROM fp GROUP BY flow_id"""
@@ -101,6 +102,13 @@ fu AS (
   FROM sl JOIN sd USING (flow_id, s, t) WINDOW w AS (PARTITION BY sl.flow_id)),
 sz AS (SELECT flow_id, count(*) AS n FROM tn GROUP BY flow_id HAVING count(*) >= 2),
 al AS (SELECT flow_id, s, t, f FROM fu UNION ALL SELECT flow_id, i, i, 1e-3::DOUBLE FROM sz, unnest(range(n)) AS x(i))"""
+_FRACTIONS = f"""{TURNS},
+x AS (SELECT flow_id, row_number() OVER (PARTITION BY flow_id ORDER BY pos) - 1 AS i, length / 7.0::DOUBLE AS a, direction * 0.3::DOUBLE + pos * 0.1::DOUBLE AS b FROM tn),
+g AS (SELECT p.flow_id, p.i AS s, q.i AS t, avg(x.a) AS u, 1 / (var_samp(x.a) + 1e-3::DOUBLE) AS ja, 1 / (var_samp(x.b) + 1e-2::DOUBLE) AS jb
+      FROM x p JOIN x q ON p.flow_id = q.flow_id AND p.i <= q.i JOIN x ON x.flow_id = p.flow_id AND x.i BETWEEN p.i AND q.i GROUP BY ALL)"""
+ORACLES["q_matrix_fraction"] = f"WITH {_FRACTIONS} SELECT flow_id, s, t, round(u, 6) AS u, round(ja * 1000, 6) AS j FROM g WHERE s < t"
+ORACLES["q_fused_fraction"] = f"""WITH {_FRACTIONS}
+SELECT flow_id, s, t, round(CASE WHEN s = t THEN 1e-3 ELSE 0.7 * ja / max(ja) OVER w + 0.3 * jb / max(jb) OVER w END::DOUBLE, 6) AS fused FROM g WINDOW w AS (PARTITION BY flow_id)"""
 ORACLES["q_fused"] = f"WITH {FUSED} SELECT flow_id, s, t, round(f, 9) AS fused FROM fu"
 
 
@@ -269,6 +277,12 @@ _BAD = "CASE WHEN o_orderkey % 13 <> 0 THEN date_trunc('second', o_orderdate) EN
 ORACLES["q_label_time"] = _orders(_times(_BETWEEN))
 ORACLES["q_label_null_ts"] = _orders(_times(_BETWEEN), _BAD)
 ORACLES["q_label_strict_ts"] = _orders(_times(_STRICT), _BAD)
+_HALIFAX = """WHEN NOT coalesce(fe < TIMESTAMP '1992-12-31 20:00:00', false) AND NOT coalesce(fs > TIMESTAMP '1993-02-28 20:00:00', false) THEN 'three'
+  WHEN src = '10.0.0.2' AND ((NOT coalesce(fe < TIMESTAMP '1995-12-31 20:00:00', false) AND NOT coalesce(fs > TIMESTAMP '1996-06-29 21:00:00', false))
+                          OR (NOT coalesce(fe < TIMESTAMP '1996-12-31 20:00:00', false) AND NOT coalesce(fs > TIMESTAMP '1997-01-31 20:00:00', false))) THEN 'two'
+  WHEN NOT coalesce(fe < TIMESTAMP '1994-02-28 20:00:00', false) AND NOT coalesce(fs > TIMESTAMP '1995-02-28 08:00:00', false) THEN 'one'"""
+ORACLES["q_label_zone"] = _orders(_HALIFAX)
+ORACLES["q_label_fields"] = _orders("WHEN o_orderkey % 4 = 3 AND dur >= 100 THEN 'large' WHEN o_orderkey % 4 = 0 AND flen >= 1 THEN 'silent' WHEN dur < 60 THEN 'short'")
 ORACLES["q_label_nested"] = _orders("WHEN dport = 84 AND flen = 0 THEN 'both' WHEN src = '10.0.0.1' AND (dport = 80 OR (fn > 5 AND rst = 1)) THEN 'nest'")
 
 TOTALS = """WITH g AS (SELECT l_orderkey, count_if(l_returnflag = 'N') + count_if(l_returnflag = 'A') AS x FROM lineitem GROUP BY l_orderkey), t AS (SELECT x::BIGINT AS x FROM g WHERE x > 0)"""

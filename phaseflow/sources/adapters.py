@@ -42,6 +42,11 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def disordered(packets: DataFrame) -> DataFrame:
+    """The same packets in another order: numbers are multiplied, modulo a prime."""
+    return packets.withColumn("pkt_no", F.col("pkt_no") * 7919777 % 1000000007)
+
+
 def with_headers(packets: DataFrame) -> DataFrame:
     """Header, payload and window columns that captures have, made from packet numbers."""
     tcp = F.col("proto") == 6

@@ -7,6 +7,7 @@ import pytest
 
 from phaseflow.functions.udfs import register
 from phaseflow.operators import segments, split
+from phaseflow.plans import views
 
 
 def test_worked_example():
@@ -73,3 +74,17 @@ def test_sql_function(spark):
     register(spark)
     assert spark.sql("select phase_marks(array(1D, 1D, 5D, 5D), 2) m").first().m == [2]
     assert spark.sql("select phase_marks(array(1D), 2) m").first().m is None
+
+
+def test_views(spark):
+    rows = [("c", k, float(k), *(("1.1.1.1", "2.2.2.2", 5, 80) if k % 2 else ("2.2.2.2", "1.1.1.1", 80, 5)), 6, 60 + k, 16) for k in range(10)]
+    packets = spark.createDataFrame(rows, "pcap string, pkt_no long, ts_s double, src_ip string, dst_ip string, src_port int, dst_port int, proto int, length int, tcp_flags int")
+    views.register(spark, packets, phases=3)
+    assert spark.sql("SELECT n_packets FROM flows").first().n_packets == 10
+    marks = spark.sql("SELECT m.marks, phase_marks(s.packet_length, 3) AS one FROM marks m JOIN sequences s USING (pcap, flow_id) WHERE num_phases = 3").first()
+    assert len(marks.marks) == len(marks.one) == 2
+    sizes = {r.phase: r.n for r in spark.sql("SELECT phase, count(*) AS n FROM phases GROUP BY phase").collect()}
+    assert sizes == {1: marks.marks[0], 2: marks.marks[1] - marks.marks[0], 3: 10 - marks.marks[1]}
+    assert spark.sql("SELECT sum(`Total Fwd Packet` + `Total Bwd packets`) AS n FROM meter").first().n == 10
+    for name in ("packets", "flows", "sequences", "marks", "phases", "meter"):
+        spark.catalog.dropTempView(name)
