@@ -85,7 +85,7 @@ def test_op7(spark, documents):
         assert r.held_out == held[i] and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1
         assert r.score == pytest.approx(noisy_or(model, documents[i]), abs=1e-6)
     judged = [(rows[i].predicted, y) for i, y in marked.items() if held[i]]
-    assert len(judged) > 10 and np.mean([a == b for a, b in judged]) > 0.9
+    assert len(judged) > 30 and np.mean([a == b for a, b in judged]) > 0.85  # of some hundred labels at this size
 
 
 def test_op8(spark, documents, tokens_of):

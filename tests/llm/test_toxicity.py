@@ -43,6 +43,27 @@ def test_noisy_or():
     assert model.judge("")[0] == model.judge("Fine. " * 100_000)[0] == 0
 
 
+def test_one_sentence_of_a_very_long_text(spark):
+    model = toxicity.Model(-4.0, {"vile$": 8.0})
+    text = "Some fine words here. " * 200_000 + "So vile a thing! " + "More of them. " * 1000
+    df = spark.createDataFrame([(1, text), (2, text.replace("vile", "fine"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(df, model, ["doc_id"], show=0.5).collect()}
+    assert got[1].score > 0.9 and [text[x.start : x.end].strip() for x in got[1].offending] == ["So vile a thing"]
+    assert got[2].score == 0 and not got[2].offending
+
+
+def test_the_same_sample_whatever_the_order(spark, monkeypatch):
+    """Texts at the bound are chosen by hash and id, and copies of a row count once."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    rows = [(i, f"text {i}", i % 2) for i in range(100)] * 2
+    drawn = []
+    for n in (1, 7):
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(n)
+        labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").repartition(n)
+        drawn.append(toxicity._first(docs, labels, "doc_id", "text", "toxic", toxicity.F.lit(True)))
+    assert drawn[0] == drawn[1] and len(drawn[0][0]) == len(set(drawn[0][0])) == 20
+
+
 def test_odd_rows(spark, docs, texts, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs, none)

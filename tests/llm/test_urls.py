@@ -62,3 +62,16 @@ def test_aliases(spark):
 def test_extra_columns_and_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string, host string, rule int, node string")
     assert urls.judged(df, RULES).count() == 0
+
+
+def test_one_component_of_many_pages(spark):
+    """A chain of 10,000 pages behind one hot address, with a blocked page at its end."""
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [(0, "http://y.com/de/0", None)]
+    rows += [(k, f"http://p{k % 7}.net/{k}", link("http://hot.net/" if k % 2 else f"http://p{(k - 1) % 7}.net/{k - 1}" if k > 1 else "http://y.com/de/0")) for k in range(1, 10_001)]
+    rows += [(20_000, "http://hot.net/", link("http://y.com/de/0")), (20_001, "http://hot.net/other", None), (20_002, "http://q.org/1", link("http://hot.net/"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    out = urls.judged(df, [r for r in RULES if r.host != "org"])
+    got = {r.page_id: (r.verdict, r.component) for r in out.collect()}
+    assert got.pop(20_001) == ("allow", None)
+    assert len(got) == 10_003 and {v for v, _ in got.values()} == {"block"} and len({c for _, c in got.values()}) == 1
