@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from urllib.parse import unquote
@@ -44,8 +45,9 @@ def read_phase_features(spark: SparkSession, folder: str, phases: Sequence[int],
 
 
 def read_wide(spark: SparkSession, folder: str) -> DataFrame:
-    """``*_concat.csv`` with ``basename``."""
-    df = spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", "*_concat.csv").csv(folder)
+    """``*_concat.csv`` with ``basename``; columns of phases are numbers, so files are read once."""
+    df = spark.read.option("header", True).option("pathGlobFilter", "*_concat.csv").csv(folder)
+    df = df.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in df.columns if re.search(r"_p\d+$", c)})
     return df.withColumn("basename", F.regexp_extract(_file_name(), r"^(.*)_concat\.csv$", 1))
 
 
