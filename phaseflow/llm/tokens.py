@@ -82,7 +82,9 @@ class Encoder:
         self.line = line[0] if len(line) == 1 else None
         self.old: dict[str, bytes] = {}
         self.bare = {"\n": np.array(line[:1], "<u4").tobytes()}
-        self.by_word = self.by_word and self.line is not None
+        # a text that ends in a blank is cut before it, which is right where no token ends in a blank but a blank
+        ends = any(len(t) > 1 and t.endswith(_BYTES[32]) for t in self.tokenizer.get_vocab())
+        self.by_word = self.by_word and self.line is not None and not ends
 
     @staticmethod
     def of(path: str) -> Encoder:

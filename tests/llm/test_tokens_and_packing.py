@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 import zlib
 from collections import Counter
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -38,6 +40,19 @@ def test_encoder_is_exact(monkeypatch):
         assert list(e.encode(odd)) == e._plain(odd)
 
 
+def test_no_words_where_a_token_holds_two_blanks(tmp_path):
+    made = json.loads(Path(PATH).read_text())
+    blank = "\u0120"
+    made["model"]["vocab"][blank * 2] = max(made["model"]["vocab"].values()) + 1
+    first = made["model"]["merges"][0]
+    made["model"]["merges"].append(f"{blank} {blank}" if isinstance(first, str) else [blank, blank])
+    path = tmp_path / "two.json"
+    path.write_text(json.dumps(made))
+    e, some = tokens.Encoder(str(path)), ["a  ", "a \n  ", "  a  b", "ab cd"]
+    assert not e.by_word and list(e.encode(some)) == e._plain(some)
+    assert e._plain(["a  "]) != tokens.Encoder(PATH)._plain(["a  "])
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 24, 32])
 def test_bit_packing(bits):
     rng = np.random.default_rng(bits)
