@@ -29,10 +29,10 @@ from phaseflow.llm.scratch import written
 COPYRIGHT = r"^[^a-z0-9©(]*(?:copyright\b|©|\(c\))"
 #: What follows the word, or an item (c), in sentences of licences.
 PROSE = (
-    "and", "are", "as", "by the", "disclaimer", "doctrines?", "for", "holders?", "if", "in", "including", "interests?", "is", "it", "laws?", "licen[sc]es?", "licensed", "notices?", "on", "or",
-    "owners?", "owned", "owner's", "ownership", "permission", "protection", "resulting from", "rights?", "statements?", "status", "that", "the software", "the program", "to", "treat(?:y|ies)", "under", "works?",
+    "and", "are", "as", "by the", "disclaimer", "doctrines?", "for", "holders?", "if", "in", "including", "interests?", "is", "it", "laws?", "licen[sc]es?", "licensed", "notices?", "of", "on", "or",
+    "owners?", "owned", "owner's", "ownership", "permission", "protection", "resulting from", "rights?", "statements?", "status", "that", "the library", "the program", "the software", "to", "treat(?:y|ies)", "under", "works?",
 )
-ITEM = (*PROSE, "accompany", "any", "each", "every", "no", "prohibiting", "such", "this", "you", "your")
+ITEM = (*PROSE, "accompany", "any", "each", "every", "no", "prohibiting", "representations?", "such", "the licen[sc]es?", "this", "you", "your")
 _SIGN = r"(?:[\s:]*(?:copyright\b|©|\(c\)))*[\s:]*(?:by\s+)?"
 #: A copyright statement: the word or a sign, then a year, a place for one, or a holder.
 STATEMENT = rf"^[^a-z0-9©(]*(?:©|(?:copyright\b|\(c\)\s*copyright\b){_SIGN}(?!(?:{'|'.join(PROSE)})\b)[\p{{L}}\p{{N}}<\[{{(]|\(c\){_SIGN}(?!(?:{'|'.join(ITEM)})\b)[\p{{L}}\p{{N}}<\[{{])"
