@@ -84,6 +84,32 @@ def test_run_leaves_its_result_only(spark, staged, tmp_path, monkeypatch):
     assert sorted(out.drop("sequence_id", "offset").collect()) == sorted(staged[5].drop("sequence_id", "offset").collect())
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    long = spark.range(0, 32, 1, 1).select(toxicity.F.repeat(toxicity.F.lit("x"), 1 << 20).alias("t"))
+    before = [spark.conf.get(k, None) for k in (scratch.BATCH, scratch.BATCH_BYTES[0], scratch.CLEANUP)]
+    out = written(long.mapInArrow(sizes, "n long"), "sizes").collect()
+    assert sum(r.n for r in out) == 32 and max(r.n for r in out) <= 8
+    assert [spark.conf.get(k, None) for k in (scratch.BATCH, scratch.BATCH_BYTES[0], scratch.CLEANUP)] == before
+
+
+def test_no_folder_of_its_own_on_a_cluster(spark):
+    class Unset:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_folder(Unset)
+
+
 def test_own_folder_where_none_is_named(spark):
     class Unset:
         class conf:  # noqa: N801
