@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from phaseflow import cli, config
-from phaseflow.operators import profile
+from phaseflow.operators import label, profile
 from phaseflow.plans import pipeline
 from phaseflow.sources import pcap, tables
 
@@ -218,6 +218,43 @@ def test_settings(tmp_path):
             config.load(str(path))
 
 
+#: Every construct that rule files use.
+RULES = """
+meta: {default_label: BENIGN}
+rules:
+- {label: one, priority: 10, match: [{field: src_ip, op: "==", value: 10.0.0.1}, {field: time_window, op: range, value: ["2018-02-14T14:00:00", "2018-02-14T15:00:00"]}]}
+- {label: two, priority: 20, match: [{field: any_ip, op: in, value: [10.0.0.9]}, {field: dst_port, op: in, value: [80, 443]}, {field: zero_fwd, op: "==", value: true}]}
+- {label: three, priority: 30, match: [{field: time_start, op: ">=", value: "2018-02-15T00:00:00"}, {field: time_end, op: "<=", value: "2018-02-15T23:00:00"}, {field: flow_duration, op: ">", value: 4}, {field: proto, op: "==", value: 6}]}
+- label: four
+  priority: 40
+  match: [{field: src_port, op: "!=", value: 1}, {field: dst_ip, op: not_in, value: [10.0.0.2]}, {field: time_window, op: ranges, value: [["2018-02-16T10:00:00", "2018-02-16T11:00:00"], ["2018-02-17T10:00:00", "2018-02-17T11:00:00"]]}]
+  extra_logic: {any_of: [{field: total_fwd_pkts, op: "<", value: 3}, {all_of: [{field: total_bwd_len, op: "<=", value: 9}, {field: fwd_rst_flags, op: ">=", value: 1}]}]}
+- {label: five, priority: 50, match: [{field: any, op: "==", value: true}, {field: bwd_rst_flags, op: ">", value: 5}, {field: total_fwd_len, op: "==", value: 7}]}
+"""
+
+
+def test_rules_under_a_file_of_settings(spark, tmp_path):
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules/some.yaml").write_text(RULES)
+    (tmp_path / "c.ini").write_text(INI)
+    conf = config.load(str(tmp_path / "c.ini"))
+    rows = [  # key, stamp, duration in microseconds, packets, forward and backward bytes, resets, label
+        ("10.0.0.1-10.0.0.2-1-2-6", "14/02/2018 02:30:00 PM", 1e6, 9, 5, 5, 0, "one"),
+        ("10.0.0.1-10.0.0.2-1-2-6", "14/02/2018 02:30:00 AM", 1e6, 9, 5, 5, 0, "BENIGN"),
+        ("10.0.0.1-10.0.0.9-1-443-6", "14/02/2018 02:30:00 PM", 1e6, 9, 0, 5, 0, "two"),
+        ("10.0.0.3-10.0.0.2-1-2-6", "15/02/2018 12:30:00 PM", 5e6, 9, 5, 5, 0, "three"),
+        ("10.0.0.3-10.0.0.2-1-2-17", "15/02/2018 12:30:00 PM", 5e6, 9, 5, 5, 0, "BENIGN"),
+        ("10.0.0.3-10.0.0.4-5-2-17", "17/02/2018 10:30:00 AM", 5e6, 2, 5, 50, 0, "four"),
+        ("10.0.0.3-10.0.0.4-5-2-17", "16/02/2018 09:59:58 AM", 5e6, 9, 5, 9, 1, "four"),
+        ("10.0.0.3-10.0.0.4-5-2-17", "16/02/2018 09:59:58 AM", 5e6, 9, 5, 10, 1, "BENIGN"),
+        ("10.0.0.3-10.0.0.4-5-2-17", "18/02/2018 09:59:58 AM", 5e6, 9, 7, 10, 6, "five"),
+    ]
+    names = ["Flow Key", "Timestamp", "Flow Duration_p1", "Total Fwd Packet_p1", "Total Length of Fwd Packet_p1", "Total Length of Bwd Packet_p1", "RST Flag Count_p1", "want"]
+    df = spark.createDataFrame([(*r[:2], *map(float, r[2:7]), r[7]) for r in rows], names)
+    got = pipeline.labelled_table(df, label.load_rules(conf.rules_path), conf).select("want", "Label").collect()
+    assert [r.Label for r in got] == [r.want for r in got]
+
+
 def test_csv_tables(spark, tmp_path):
     (tmp_path / "phase_1").mkdir()
     (tmp_path / "phase_1" / "p_1_x_y.csv").write_text("Src IP,Tot Fwd Pkts\n1,5\n")
