@@ -517,7 +517,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = written(hashes.mapInArrow(_shared(buckets), "bucket int, docs binary, counts binary, hashes binary"), "suffix-shared")
     lists = shared.repartition(parts, "bucket").mapInArrow(_by_document, "h long, hashes binary")
     lists = written(lists.join(texts.select("h", F.col("lead").alias("id")), "h"), "suffix-lists")
-    dropped(shared)
+    for df in (shared, sizes, texts):
+        dropped(df)
     found = rows.join(lists.hint("shuffle_hash"), ["id", "h"]).select("id", "text", "hashes", "h")
     contexts = found.mapInArrow(_contexts, "id long, h long, places array<long>, back int, context binary")
     contexts = written(contexts.withColumns(_key()), "suffix-contexts", 64)
